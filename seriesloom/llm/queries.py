@@ -20,6 +20,13 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are kept."""
+    from .quality import resample
+
+    return resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).drop("text")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack, token_pieces
 
@@ -32,15 +39,35 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_pass", "mix_order")
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import text_media
 
     return text_media(table(spark, sf_dir, "documents"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import document_files, scan
+
+    return scan(document_files(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op5_token_output, op9_media)}
+    return {f.__name__: f for f in (op1_quality, op3_packing, op5_token_output, op6_html, op8_mixing, op9_media, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import licenses
+
+    return {"op10_licenses": licenses.oracle()}
