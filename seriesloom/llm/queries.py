@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -27,6 +28,13 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).drop("text")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+
+    cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack, token_pieces
 
@@ -64,10 +72,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_packing, op5_token_output, op6_html, op8_mixing, op9_media, op10_licenses)}
+    return {f.__name__: f for f in (op1_quality, op2_substring_dedup, op3_packing, op5_token_output, op6_html, op8_mixing, op9_media, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import licenses
+    from . import licenses, substring_dedup
 
-    return {"op10_licenses": licenses.oracle()}
+    return {"op2_substring_dedup": substring_dedup.ORACLE, "op10_licenses": licenses.oracle()}
