@@ -41,6 +41,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_output import read_tokens, write_tokens
 
@@ -72,10 +78,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_substring_dedup, op3_packing, op5_token_output, op6_html, op8_mixing, op9_media, op10_licenses)}
+    return {f.__name__: f for f in (op1_quality, op2_substring_dedup, op3_packing, op4_jaccard_join, op5_token_output, op6_html, op8_mixing, op9_media, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import licenses, substring_dedup
+    from . import jaccard_join, licenses, substring_dedup
 
-    return {"op2_substring_dedup": substring_dedup.ORACLE, "op10_licenses": licenses.oracle()}
+    return {"op2_substring_dedup": substring_dedup.ORACLE, "op4_jaccard_join": jaccard_join.ORACLE, "op10_licenses": licenses.oracle()}
