@@ -59,6 +59,13 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
@@ -78,7 +85,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_substring_dedup, op3_packing, op4_jaccard_join, op5_token_output, op6_html, op8_mixing, op9_media, op10_licenses)}
+    return {f.__name__: f for f in (op1_quality, op2_substring_dedup, op3_packing, op4_jaccard_join, op5_token_output, op6_html, op7_ann, op8_mixing, op9_media, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
