@@ -18,7 +18,7 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 HOUR, DAY = 3_600_000, 86_400_000
-NOW = 1_735_689_600_000  # the present of retention and tier queries
+NOW = 1_706_745_600_000  # the present of retention and tier queries
 KEY = "'events{event_type=\"' || event_type || '\",user_id=\"' || user_id || '\"}'"
 COMMON = f"""WITH ev AS (SELECT 'events' AS metric, event_type, CAST(user_id AS VARCHAR) AS user_id, {KEY} AS series_key, epoch_us(ts) // 1000 AS ts_ms, value FROM events),
 od AS (SELECT o_orderstatus AS status, o_orderpriority AS priority, epoch_us(o_orderdate) // 1000 AS ts_ms, o_totalprice AS value FROM orders),
@@ -103,11 +103,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return storage.exposition(model.events(spark, d))
 
 
-@query("write_read_round_trip", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM ev WHERE ts_ms >= 1706745600000 GROUP BY ALL")
+@query("write_read_round_trip", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM ev WHERE ts_ms >= 1705276800000 GROUP BY ALL")
 def _(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark, "db")
     storage.write(model.events(spark, d), path)
-    back = storage.read(storage.load(spark, path), "events", start_ms=1706745600000)
+    back = storage.read(storage.load(spark, path), "events", start_ms=1705276800000)
     return back.groupBy(F.col("labels")["event_type"].alias("event_type")).agg(F.count("*").alias("n"), r(F.sum("value"), 4).alias("total"))
 
 
@@ -316,9 +316,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("binop_group_left", _DAILY + """, t AS (SELECT ts_ms, event_type, sum(value) AS total FROM h GROUP BY ALL)
-SELECT 'daily{event_type="' || event_type || '",user_id="' || user_id || '"}' AS series_key, ts_ms, round(CASE WHEN total <> 0 THEN value / total ELSE CAST('nan' AS DOUBLE) END, 10) AS value FROM h JOIN t USING (ts_ms, event_type)""")
+SELECT 'daily{event_type="' || event_type || '",user_id="' || user_id || '"}' AS series_key, ts_ms, round(CASE WHEN total <> 0 THEN value / total ELSE CAST('nan' AS DOUBLE) END / 7, 10) AS value FROM h JOIN t USING (ts_ms, event_type)""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return points(aggregate.match(_daily(spark, d, "event_type", "user_id"), _daily(spark, d, "event_type"), "/", on=["event_type"], many=True), 10)
+    shares = aggregate.match(_daily(spark, d, "event_type", "user_id"), _daily(spark, d, "event_type"), "/", on=["event_type"], many=True)
+    return points(aggregate.with_number(shares, "/", 7), 10)
 
 
 @query("comparison_filter", "SELECT series_key, ts_ms, value FROM ev WHERE value > 50")
@@ -376,10 +377,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 # Retention, tiers
 
-_POLICIES = [("ev", 400 * 86400, "raw"), ("events", 200 * 86400, "1h"), ("orders", 9000 * 86400, "1d"), ("Customer", 86400, "raw"), ("Customer#0000001", 2 * 86400, "5m")]
+_POLICIES = [("ev", 40 * 86400, "raw"), ("events", 20 * 86400, "1h"), ("orders", 9000 * 86400, "1d"), ("Customer", 86400, "raw"), ("Customer#0000001", 2 * 86400, "5m")]
 
 
-@query("retention_cleanup", f"SELECT series_key, ts_ms, value FROM ev WHERE ts_ms >= {NOW - 200 * DAY}")
+@query("retention_cleanup", f"SELECT series_key, ts_ms, value FROM ev WHERE ts_ms >= {NOW - 20 * DAY}")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.cleanup(model.events(spark, d), lifecycle.policies(spark, _POLICIES), NOW).select("series_key", "ts_ms", "value")
 
@@ -389,17 +390,17 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.policy_of(model.table(spark, d, "customer").select(F.col("c_name").alias("name")), lifecycle.policies(spark, _POLICIES))
 
 
-_TIER = f"SELECT series_key, max(ts_ms) AS end_ms, count(*) AS n, CASE WHEN max(ts_ms) >= {NOW - 100 * DAY} THEN 'hot' WHEN max(ts_ms) >= {NOW - 300 * DAY} THEN 'warm' ELSE 'cold' END AS tier FROM ev GROUP BY series_key"
+_TIER = f"SELECT series_key, max(ts_ms) AS end_ms, count(*) AS n, CASE WHEN max(ts_ms) >= {NOW - 3 * DAY} THEN 'hot' WHEN max(ts_ms) >= {NOW - 10 * DAY} THEN 'warm' ELSE 'cold' END AS tier FROM ev GROUP BY series_key"
 
 
 @query("tiering", _TIER)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return lifecycle.tiers(model.events(spark, d), NOW, 100 * DAY, 300 * DAY)
+    return lifecycle.tiers(model.events(spark, d), NOW, 3 * DAY, 10 * DAY)
 
 
 @query("tier_stats", f"WITH t AS ({_TIER}) SELECT tier, count(*) AS series, CAST(sum(n) AS BIGINT) AS points FROM t GROUP BY tier")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return lifecycle.tier_stats(lifecycle.tiers(model.events(spark, d), NOW, 100 * DAY, 300 * DAY))
+    return lifecycle.tier_stats(lifecycle.tiers(model.events(spark, d), NOW, 3 * DAY, 10 * DAY))
 
 
 @query("downsample_by_policy", f"SELECT status, priority, ts_ms - ts_ms % {7 * DAY} AS ts_ms, round(avg(value), 4) AS value FROM od GROUP BY ALL")
