@@ -103,11 +103,12 @@ def mix_sources(docs: DataFrame, o: Options = Options()) -> DataFrame:
     """docs with mix_pass, from 0, and mix_order, the place of its block in that pass: each row as often as planned.
 
     A null source is one of its own; null text has no tokens; repeated rows are drawn alike; an empty table gives an
-    empty one. The plan has sources * blocks rows at most; it is joined by (source, block), which splits a hot source.
+    empty one; columns named as a new one are replaced. The plan has sources * blocks rows at most; it is joined by (source, block), which splits a hot source.
     """
-    chosen = plan(docs, o).where("passes > 0").select(F.col("source").alias("__source"), F.col("block").alias("__block"), "passes", "whole")
+    docs = docs.drop("mix_pass", "mix_order")
+    chosen = plan(docs, o).where("passes > 0").select(F.col("source").alias("__source"), F.col("block").alias("__of"), F.col("passes").alias("__passes"))
     keyed = docs.withColumn("__block", _block(o))
-    joined = keyed.join(chosen, F.col("source").eqNullSafe(F.col("__source")) & (keyed["__block"] == chosen["__block"])).drop(chosen["__block"])
-    drawn = joined.withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
+    joined = keyed.join(chosen, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__block") == F.col("__of")))
+    drawn = joined.withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.col("__passes") - 1)))
     drawn = drawn.withColumn("mix_order", F.xxhash64("source", "__block", F.col("mix_pass").cast("long"), F.lit(o.seed)))
-    return drawn.drop("__source", "__block", "passes", "whole")
+    return drawn.drop("__source", "__block", "__of", "__passes")

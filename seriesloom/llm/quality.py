@@ -88,7 +88,8 @@ def score(docs: DataFrame, ratio: np.ndarray, o: Options = Options()) -> DataFra
     The mean, not the sum, so that long texts are not favoured. The noise follows from doc_id, text and seed, so equal
     rows share it and a task that runs again draws the same.
     """
-    names = [c for c in docs.columns]
+    docs = docs.drop("n_grams", "log_weight", "perturbed")
+    names = docs.columns
     key, weights = "__key", docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +111,8 @@ def resample(docs: DataFrame, labels: DataFrame, o: Options = Options()) -> Data
 
     Its size k is the number of documents whose weight reaches the threshold; the k largest perturbed weights are
     drawn, which is sampling without replacement in proportion to exp(log_weight / temperature). Rows that tie at the
-    k-th value are all drawn. Null text is empty (weight 0); an empty table gives an empty sample.
+    k-th value are all drawn. Null text is empty (weight 0); an empty table gives an empty sample; a column of docs with
+    the name of a new one is replaced.
     """
     ratio, threshold = fit(docs, labels, o)
     scores = stage(score(docs.select("doc_id", "text"), ratio, o).select("log_weight", "perturbed"), "scores")
