@@ -27,8 +27,8 @@ from .words import Spans, gram_starts, mix, words
 class Options:
     """Two sets link when `of` * intersection >= `at` * union. n: words in a shingle. growth: of size bands.
 
-    match: chance that two segments of one token agree, for the cost of an index; block: tokens of sets that one task
-    compares with as many others.
+    match: chance that two segments of one token agree, for the cost of an index; block: tokens of sets whose sketches
+    one task compares with as many others; small: see set_components.
     """
 
     n: int = 3
@@ -36,7 +36,8 @@ class Options:
     of: int = 100
     growth: float = 1.25
     match: float = 0.3
-    block: int = 250_000
+    block: int = 1_000_000
+    small: int = 64
 
 
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,55 +137,83 @@ def _signatures(token: np.ndarray, ptr: np.ndarray, plan: dict[int, tuple[int, i
     return np.concatenate(outs), np.concatenate(of)
 
 
-def _verified(a: np.ndarray, b: np.ndarray, o: Options) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return o.of * both >= o.at * (len(a) + len(b) - both)
+def _sketch(token: np.ndarray) -> bytes:
+    """Tokens counted by hash in as many cells as the next power of two: cells of two sets differ by no more, in sum,
+    than the sets do. Cells are cut at 255, which keeps that, and a sketch folds to half its length."""
+    cells = 1 << max(0, int(len(token) - 1).bit_length())
+    return np.minimum(np.bincount((mix(token ^ np.uint64(0x165667B19E3779F9)) & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
 
 
-def _verify_pairs(batches: Iterator[pa.RecordBatch], o: Options) -> Iterator[pa.RecordBatch]:
+def _fold(sketch: np.ndarray, cells: int) -> np.ndarray:
+    return np.minimum(sketch.reshape(-1, cells).sum(axis=0), 255)
+
+
+def _most_apart(a: np.ndarray | int, b: int, o: Options) -> np.ndarray | int:
+    """How many tokens two linked sets of these sizes differ in at most."""
+    return (a + b) * (o.of - o.at) // (o.of + o.at)
+
+
+def _near(batches: Iterator[pa.RecordBatch], o: Options) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) whose sketches (x, y) leave a link possible."""
     for batch in batches:
-        ok = [_verified(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), o) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-        yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        keep = []
+        for n, m, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+            x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+            cells = min(len(x), len(y))
+            apart = int(np.abs(_fold(x, cells).astype(np.int64) - _fold(y, cells).astype(np.int64)).sum())
+            keep.append(apart <= _most_apart(n, m, o))
+        yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _verified(batches: Iterator[pa.RecordBatch], o: Options) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) whose sets (x, y) link."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(o.of * both >= o.at * (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """pairs (a, b) with columns of both sets."""
+    left = sets.select(F.col("set_id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in columns])
+    right = sets.select(F.col("set_id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in columns])
+    return pairs.join(left, "a").join(right, "b").select("a", "b", *[f"{x}_{c}" for c in columns for x in "ab"])
+
+
+def _links(pairs: DataFrame, sets: DataFrame, o: Options) -> DataFrame:
+    """The pairs that link: first by sketches, a fraction of the sets' size, then exactly."""
+    pairs = _with_sets(pairs, sets, "n", "sketch").mapInArrow(lambda it: _near(it, o), "a long, b long")
+    return stage(_with_sets(pairs, sets, "tokens").mapInArrow(lambda it: _verified(it, o), "a long, b long"), "links")
 
 
-def _verify_block(pdf: pd.DataFrame, o: Options) -> pd.DataFrame:
-    """Links between sets of different components in one block, one for each two components that they join."""
+def _block_pairs(pdf: pd.DataFrame, o: Options) -> pd.DataFrame:
+    """Pairs of sets of different components in one block whose sketches leave a link possible."""
     pdf = pdf.drop_duplicates("set_id")
-    sets = [np.frombuffer(x, np.uint64) for x in pdf["tokens"]]
-    size = np.array([len(x) for x in sets])
-    _, token = np.unique(np.concatenate(sets), return_inverse=True)
-    ptr = np.concatenate(([0], np.cumsum(size)))
-    ids, parent = pdf["set_id"].to_numpy(), {c: c for c in pdf["component"]}
-
-    def root(c: int) -> int:
-        while parent[c] != c:
-            parent[c] = c = parent[parent[c]]
-        return c
-
-    component, side = pdf["component"].to_numpy(), pdf["right"].to_numpy()
-    largest = pdf["component"].mode().iloc[0]
-    mark, out = np.zeros(int(token.max()) + 1, bool), []
-    for i in np.flatnonzero(component != largest):  # a link joins two components, so one end is outside the largest
-        mark[:] = False
-        mark[token[ptr[i] : ptr[i + 1]]] = True
-        both = np.add.reduceat(mark[token], ptr[:-1])
-        near = np.flatnonzero((o.of * both >= o.at * (size + size[i] - both)) & (component != component[i]))
-        for x in near:
-            a, b = root(component[i]), root(component[x])
-            if a != b:
-                parent[a] = b
-                out.append((ids[i], ids[x]))
+    sketches = [np.frombuffer(x, np.uint8) for x in pdf["sketch"]]
+    cells = min(map(len, sketches))
+    table = np.stack([_fold(x, cells) for x in sketches]).astype(np.int16)
+    ids, n, component = (pdf[c].to_numpy() for c in ("set_id", "n", "component"))
+    largest, done, out = pdf["component"].mode().iloc[0], np.zeros(len(ids), bool), []
+    for i in np.flatnonzero(component != largest):  # one end of a pair is outside the largest component
+        done[i] = True
+        near = np.flatnonzero((component != component[i]) & ~done)
+        apart = np.abs(table[near] - table[i]).sum(axis=1, dtype=np.int64)
+        near = near[apart <= _most_apart(n[near], int(n[i]), o)]
+        out += [(min(ids[i], ids[x]), max(ids[i], ids[x])) for x in near]
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def set_components(docs: DataFrame, o: Options = Options()) -> tuple[DataFrame, DataFrame]:
     """(rk, n_shingles, set_id) of each row and (node, component) of the sets that link to others.
 
-    Equal texts are one set. First each set of an index entry is compared with the entry's smallest; then entries that
-    still hold several components are compared in full, across components only and in blocks, so copies of one text
-    cost no more than their number and no link between components is missed.
+    Equal texts are one set. First each set of an index entry is compared with the entry's smallest. Entries that still
+    hold several components are then compared in full, across components only: as pairs if they hold `small` sets at
+    most, else in blocks of sketches inside a task. So copies of one text cost no more than their number, and no link
+    between components is missed.
     """
-    spark = docs.sparkSession
     keyed = docs.select(row_key().alias("rk"), "text")
     edges = bands(o.growth)
 
@@ -231,34 +260,34 @@ def set_components(docs: DataFrame, o: Options = Options()) -> tuple[DataFrame,
             token, ptr = shingle_sets(batch.column(0), o.n)
             ids = _set_ids(token, ptr)
             use = np.flatnonzero(ids == batch.column(1).to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(ids[use]), pa.array(np.diff(ptr)[use]), pa.array([token[ptr[i] : ptr[i + 1]].tobytes() for i in use], pa.binary())], names=["set_id", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[use]), pa.array(np.diff(ptr)[use]), pa.array([token[ptr[i] : ptr[i + 1]].tobytes() for i in use], pa.binary()), pa.array([_sketch(token[ptr[i] : ptr[i + 1]]) for i in use], pa.binary())], names=["set_id", "n", "tokens", "sketch"])
 
-    sets = keyed.join(wanted, "rk").select("text", "set_id").mapInArrow(tokens, "set_id long, n long, tokens binary")
+    sets = keyed.join(wanted, "rk").select("text", "set_id").mapInArrow(tokens, "set_id long, n long, tokens binary, sketch binary")
     # rows that repeat have one key
-    sets = stage(sets.groupBy("set_id").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "sets")
+    sets = stage(sets.groupBy("set_id").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")), "sets")
 
-    pairs = shared.where("set_id != leader").select("set_id", "leader").distinct()
-    left = sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("y"))
-    both = pairs.join(left, pairs["set_id"] == left["a"]).join(right, pairs["leader"] == right["b"]).select("a", "b", "x", "y")
-    links = stage(both.mapInArrow(lambda it: _verify_pairs(it, o), "a long, b long"), "links")
+    links = _links(shared.where("set_id != leader").select(F.col("set_id").alias("a"), F.col("leader").alias("b")).distinct(), sets, o)
     labels = components(links)
 
-    labelled = shared.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("sig", "set_id", F.coalesce("component", "set_id").alias("component"))
+    final = shared.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("sig", "set_id", F.coalesce("component", "set_id").alias("component"))
     # entries with the same sets are one
-    groups = labelled.groupBy("sig").agg(F.count("*").alias("n"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("h"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+    groups = final.groupBy("sig").agg(F.count("*").alias("n"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("h"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
     groups = groups.groupBy("n", "h").agg(F.min("sig").alias("sig"))
-    open_sets = labelled.join(groups.select("sig"), "sig").join(sets.select("set_id", "n"), "set_id")
+    groups = groups.withColumnRenamed("n", "held")
+    open_sets = stage(final.join(groups.select("sig", "held"), "sig"), "open")
+    few = open_sets.where(F.col("held") <= o.small).drop("held")
+    pairs = few.alias("l").join(few.alias("r"), F.expr("l.sig = r.sig and l.component < r.component"))
+    pairs = pairs.select(F.least("l.set_id", "r.set_id").alias("a"), F.greatest("l.set_id", "r.set_id").alias("b"))
+    many = open_sets.where(F.col("held") > o.small).join(sets.select("set_id", "n"), "set_id")
     order = Window.partitionBy("sig").orderBy("component", "set_id").rowsBetween(Window.unboundedPreceding, -1)
-    chunked = open_sets.withColumn("chunk", F.floor(F.coalesce(F.sum("n").over(order), F.lit(0)) / o.block))
-    chunked = stage(chunked.select("sig", "set_id", "component", "chunk"), "chunks")
+    chunked = stage(many.select("sig", "set_id", "component", F.floor(F.coalesce(F.sum("n").over(order), F.lit(0)) / o.block).alias("chunk")), "chunks")
     chunks = chunked.groupBy("sig", "chunk").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     blocks = chunks.alias("l").join(chunks.alias("r"), F.expr("l.sig = r.sig and l.chunk <= r.chunk and not (l.lo = l.hi and r.lo = r.hi and l.lo = r.lo)"))
     blocks = blocks.select(F.col("l.sig").alias("sig"), F.col("l.chunk").alias("i"), F.col("r.chunk").alias("j"))
     blocks = blocks.select("sig", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("chunk"))
-    rows = blocks.join(chunked, ["sig", "chunk"]).join(sets, "set_id").select("sig", "i", "j", "set_id", "component", "tokens", (F.col("chunk") > F.col("i")).alias("right"))
-    more = rows.groupBy("sig", "i", "j").applyInPandas(lambda pdf: _verify_block(pdf, o), "a long, b long")
-    more = stage(more, "links")
+    rows = blocks.join(chunked, ["sig", "chunk"]).join(sets.select("set_id", "n", "sketch"), "set_id").select("sig", "i", "j", "set_id", "component", "n", "sketch")
+    blocked = rows.groupBy("sig", "i", "j").applyInPandas(lambda pdf: _block_pairs(pdf, o), "a long, b long")
+    more = _links(pairs.unionByName(blocked).distinct(), sets, o)
     if more.isEmpty():
         return members, labels
     return members, components(links.unionByName(more))
@@ -268,17 +297,19 @@ def jaccard_components(docs: DataFrame, o: Options = Options()) -> DataFrame:
     """docs with n_shingles and component_id, the smallest doc_id that links lead to, itself included.
 
     Null text and texts without words have the empty set, which links with nothing; of a class, null doc_ids do not
-    name it unless all are null; repeated rows are one class; other columns pass; an empty table gives an empty one.
+    name it unless all are null; repeated rows are one class; other columns pass, but those named as a new one are
+    replaced; an empty table gives an empty one.
     """
+    docs = docs.drop("n_shingles", "component_id")
     members, labels = set_components(docs, o)
-    named = members.select("rk", "n_shingles", "set_id").distinct()
-    labelled = named.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("rk", "n_shingles", F.coalesce("component", "set_id").alias("__class"))
-    keyed = docs.withColumn("rk", row_key())
-    ids = keyed.select("rk", "doc_id").join(labelled, "rk")
+    named = members.select(F.col("rk").alias("__rk"), "n_shingles", "set_id").distinct()
+    labelled = named.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("__rk", "n_shingles", F.coalesce("component", "set_id").alias("__class"))
+    keyed = docs.withColumn("__rk", row_key())
+    ids = keyed.select("__rk", "doc_id").join(labelled, "__rk")
     smallest = ids.where("n_shingles > 0").groupBy("__class").agg(F.min("doc_id").alias("__smallest"))
-    known = labelled.join(smallest, "__class", "left").select("rk", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("__smallest")).alias("__smallest"))
-    joined = keyed.join(known, "rk").withColumn("component_id", F.coalesce("__smallest", "doc_id"))
-    return joined.drop("rk", "__smallest")
+    known = labelled.join(smallest, "__class", "left").select("__rk", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("__smallest")).alias("__smallest"))
+    joined = keyed.join(known, "__rk").withColumn("component_id", F.coalesce("__smallest", "doc_id"))
+    return joined.drop("__rk", "__smallest")
 
 
 ORACLE = r"""
