@@ -180,10 +180,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 _DOWN = {"avg": "avg(value)", "sum": "sum(value)", "min": "min(value)", "max": "max(value)", "first": "arg_min(value, (ts_ms, value))", "last": "arg_max(value, (ts_ms, value))", "p50": "quantile_cont(value, 0.5)", "p95": "quantile_cont(value, 0.95)", "p99": "quantile_cont(value, 0.99)", "count": "CAST(count(*) AS DOUBLE)"}
 for _how, _agg in _DOWN.items():
 
-    @query(f"downsample_{_how}", f"SELECT status, priority, ts_ms - ts_ms % {30 * DAY} AS ts_ms, round({_agg}, 4) AS value FROM od GROUP BY ALL")
+    @query(f"downsample_{_how}", f"SELECT status, priority, ts_ms - ts_ms % {30 * DAY} AS ts_ms, round({_agg}, 7) AS value FROM od GROUP BY ALL")
     def _(spark: SparkSession, d: str, how: str = _how) -> DataFrame:
         down = series.downsample(model.orders(spark, d), 30 * DAY, how)
-        return down.select(F.col("labels")["status"].alias("status"), F.col("labels")["priority"].alias("priority"), "ts_ms", r(how, 4).alias("value"))
+        return down.select(F.col("labels")["status"].alias("status"), F.col("labels")["priority"].alias("priority"), "ts_ms", r(how, 7).alias("value"))
 
 
 @query("series_bounds", "SELECT series_key, min(ts_ms) AS start_ms, max(ts_ms) AS end_ms, count(*) AS n, CASE WHEN count(*) > 1 THEN max(ts_ms) - min(ts_ms) END AS duration_ms FROM ev GROUP BY series_key")
@@ -245,10 +245,12 @@ for _name, (_f, _expr) in _SCALAR.items():
 
 for _how, _agg in {**_SQL_AGG, "stdvar": "var_pop(value)", "quantile": "quantile_cont(value, 0.9)"}.items():
 
-    @query(f"{_how}_by", f"WITH h AS (SELECT event_type, ts_ms // {DAY} * {DAY} AS ts_ms, value FROM ev) SELECT event_type, ts_ms, round({_agg}, 4) AS value FROM h GROUP BY ALL")
-    def _(spark: SparkSession, d: str, how: str = _how) -> DataFrame:
+    _digits = 6 if _how == "stddev" else 9
+
+    @query(f"{_how}_by", f"WITH h AS (SELECT event_type, ts_ms // {DAY} * {DAY} AS ts_ms, value FROM ev) SELECT event_type, ts_ms, round({_agg}, {_digits}) AS value FROM h GROUP BY ALL")
+    def _(spark: SparkSession, d: str, how: str = _how, digits: int = _digits) -> DataFrame:
         aligned = model.events(spark, d).withColumn("ts_ms", series.bucket(DAY))
-        return aggregate.aggregate(aligned, how, ["event_type"], 0.9).select("event_type", "ts_ms", r("value", 4).alias("value"))
+        return aggregate.aggregate(aligned, how, ["event_type"], 0.9).select("event_type", "ts_ms", r("value", digits).alias("value"))
 
 
 @query("sum_by_missing_label", f"WITH h AS (SELECT ts_ms // {DAY} * {DAY} AS ts_ms, value FROM ev) SELECT '__total' AS region, ts_ms, round(sum(value), 4) AS value FROM h GROUP BY ALL")
@@ -403,10 +405,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.tier_stats(lifecycle.tiers(model.events(spark, d), NOW, 3 * DAY, 10 * DAY))
 
 
-@query("downsample_by_policy", f"SELECT status, priority, ts_ms - ts_ms % {7 * DAY} AS ts_ms, round(avg(value), 4) AS value FROM od GROUP BY ALL")
+@query("downsample_by_policy", f"SELECT status, priority, ts_ms - ts_ms % {7 * DAY} AS ts_ms, round(avg(value), 7) AS value FROM od GROUP BY ALL")
 def _(spark: SparkSession, d: str) -> DataFrame:
     down = lifecycle.at_resolution(model.orders(spark, d), "1w")
-    return down.select(F.col("labels")["status"].alias("status"), F.col("labels")["priority"].alias("priority"), "ts_ms", r("value", 4).alias("value"))
+    return down.select(F.col("labels")["status"].alias("status"), F.col("labels")["priority"].alias("priority"), "ts_ms", r("value", 7).alias("value"))
 
 
 # Vectors
@@ -457,9 +459,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 for _how, _agg in {**{k: v for k, v in _SQL_AGG.items() if k != "stddev"}, "last": "arg_max(value, (ts_ms, value))"}.items():
 
-    @query(f"hybrid_{_how}", f"SELECT round({_agg}, 4) AS value FROM ev WHERE event_type = 'view' AND ts_ms BETWEEN 1704067200000 AND 1709251200000")
+    @query(f"hybrid_{_how}", f"SELECT round({_agg}, 8) AS value FROM ev WHERE event_type = 'view' AND ts_ms BETWEEN 1704067200000 AND 1709251200000")
     def _(spark: SparkSession, d: str, how: str = _how) -> DataFrame:
-        return hybrid.aggregate(model.events(spark, d), "events", {"event_type": "view"}, 1704067200000, 1709251200000, how).select(r("value", 4).alias("value"))
+        return hybrid.aggregate(model.events(spark, d), "events", {"event_type": "view"}, 1704067200000, 1709251200000, how).select(r("value", 8).alias("value"))
 
 
 _CENTRES = "WITH c AS (SELECT CAST(vec_id AS INT) AS list_id, CAST(embedding AS DOUBLE[]) AS c FROM embeddings WHERE vec_id < 16)"
