@@ -22,12 +22,12 @@ class Options:
     leaf at most. recall: wanted of the calibration queries, of which there are `probes`, against all of the sample;
     slack: factor on the visits so found. cap: vectors and queries that one task compares."""
 
-    sample: int = 50_000
+    sample: int = 20_000
     fan: int = 8
-    leaf: int = 64
-    recall: float = 0.98
+    leaf: int = 512
+    recall: float = 0.95
     probes: int = 200
-    slack: float = 1.5
+    slack: float = 1.1
     cap: int = 20_000
     seed: int = 11
 
@@ -167,14 +167,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, o: Options = Opt
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            c = np.stack(left["v"].to_list())
-            for q, v in zip(right["q"], right["v"], strict=True):
-                d = np.sqrt(((c - v) ** 2).sum(axis=1))
-                most = np.partition(d, k)[k] if len(d) > k + 1 else np.inf
-                near = np.flatnonzero(d <= most)
-                # k + 1 classes at least; more where they tie
-                cells = sorted((d[x], i) for x in near for i in left["ids"].iloc[x])[: k + 1]
-                out += [(q, i, s) for s, i in cells]
+            c, ids = np.stack(left["v"].to_list()), left["ids"].to_list()
+            size = (c * c).sum(axis=1)
+            for at in range(0, len(right), 256):
+                asked = np.stack(right["v"].iloc[at : at + 256].to_list())
+                own = (asked * asked).sum(axis=1)
+                rough = size - 2.0 * asked @ c.T + own[:, None]
+                most = np.partition(rough, k, axis=1)[:, k] if len(c) > k + 1 else np.full(len(asked), np.inf)
+                for q, v, d, bound, scale in zip(right["q"].iloc[at : at + 256], asked, rough, most, own, strict=True):
+                    # all that rounding could bring among the k + 1 nearest, then by exact differences
+                    near = np.flatnonzero(d <= bound + 1e-9 * (scale + size.max()))
+                    exact = np.sqrt(((c[near] - v) ** 2).sum(axis=1))
+                    cells = sorted((s, i) for x, s in zip(near.tolist(), exact.tolist(), strict=True) for i in ids[x])[: k + 1]
+                    out += [(q, i, s) for s, i in cells]
         return pd.DataFrame({"q": pd.Series([r[0] for r in out], dtype="int64"), "vec_id": pd.Series([r[1] for r in out], dtype="int64"), "score": pd.Series([r[2] for r in out], dtype="float64")})
 
     found = vs.select("leaf", "i", "j", "v", "ids").groupBy("leaf", "i", "j").cogroup(qs.select("leaf", "i", "j", "v", "q").groupBy("leaf", "i", "j")).applyInPandas(nearest, "q long, vec_id long, score double")
