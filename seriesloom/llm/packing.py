@@ -50,10 +50,10 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
     bins, offsets, used = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), 0
     for i, s in enumerate(lengths.tolist()):
-        change = n[: capacity - s + 1] - n[s:] + 1  # by g - s
-        change[0] = -n[s]  # a bin that becomes full leaves the sum: 2 n[0] + 1 is never added
+        change = 2 * (n[: capacity - s + 1] - n[s:] + 1)  # by g - s
+        change[0] = 1 - 2 * n[s]  # a bin that becomes full leaves the sum
         change = np.where(n[s:] > 0, change, 1 << 40)
-        change[capacity - s] = n[capacity - s] + 1 if s < capacity else 0
+        change[capacity - s] = 2 * n[capacity - s] + 1 if s < capacity else 0
         gap = int(change.argmin()) + s
         if gap == capacity:
             b, used = used, used + 1
