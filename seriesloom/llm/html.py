@@ -21,6 +21,7 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 #: Standard deviation, in lines, of the smoothing.
 SIGMA = 1.0
 _SPACE = re.compile(r"\s+")
+_CUT_OFF = re.compile(r"<[!?/a-zA-Z]")
 
 
 class Lines(HTMLParser):
@@ -120,6 +121,8 @@ class Lines(HTMLParser):
             self.text.append(data)
 
     def close(self) -> None:
+        if _CUT_OFF.match(self.rawdata):  # markup that the page ends within
+            self.rawdata = ""
         super().close()
         if not self.skipping:
             self.flush()
