@@ -67,6 +67,16 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             first = last
 
 
+def split_join(rows: DataFrame, counts: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with counts, which are one row a key, by an expression of the key.
+
+    counts are dealt out by the key itself already; a join by the key would take them as they lie, and the adaptive
+    plan splits hot keys only where both sides are shuffled for the join.
+    """
+    other = counts.withColumn("__key", F.bitwise_not(key)).drop(key)
+    return rows.join(other, F.bitwise_not(rows[key]) == other["__key"], how).drop("__key")
+
+
 def kth_largest(df: DataFrame, column: str, k: int, fan: int = 2048) -> float | None:
     """The k-th largest value of a double column, exactly, by narrowing a histogram of fixed size; k from 1.
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_key, stage, text_slices
+from .common import row_key, split_join, stage, text_slices
 from .components import components
 from .words import Spans, gram_starts, mix, words
 
@@ -37,7 +37,7 @@ class Options:
     growth: float = 1.25
     match: float = 0.3
     block: int = 1_000_000
-    small: int = 64
+    small: int = 8
 
 
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -307,7 +307,7 @@ def jaccard_components(docs: DataFrame, o: Options = Options()) -> DataFrame:
     keyed = docs.withColumn("__rk", row_key())
     ids = keyed.select("__rk", "doc_id").join(labelled, "__rk")
     smallest = ids.where("n_shingles > 0").groupBy("__class").agg(F.min("doc_id").alias("__smallest"))
-    known = labelled.join(smallest, "__class", "left").select("__rk", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("__smallest")).alias("__smallest"))
+    known = split_join(labelled, smallest, "__class", "left").select("__rk", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("__smallest")).alias("__smallest"))
     joined = keyed.join(known, "__rk").withColumn("component_id", F.coalesce("__smallest", "doc_id"))
     return joined.drop("__rk", "__smallest")
 

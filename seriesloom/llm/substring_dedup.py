@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import split_join, text_slices
 from .words import Spans, Words, gram_starts, mix, words
 
 _PLACE = np.uint64((1 << 30) - 1)
@@ -51,16 +51,6 @@ def _keys(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("k1"), F.hash("text").alias("k2"), "text")
 
 
-def _split_join(rows: DataFrame, counts: DataFrame, key: str) -> DataFrame:
-    """rows joined with counts, which are one row a key, by an expression of the key.
-
-    counts are dealt out by the key itself already; a join by the key would take them as they lie, and the adaptive
-    plan splits hot keys only where both sides are shuffled for the join.
-    """
-    other = counts.withColumn("__key", F.bitwise_not(key)).drop(key)
-    return rows.join(other, F.bitwise_not(rows[key]) == other["__key"]).drop("__key")
-
-
 def duplicate_spans(docs: DataFrame, window: int = 35, k: int = 12) -> DataFrame:
     """(k1, k2, start, count): all runs of count windows, from word start on, that occur again somewhere.
 
@@ -80,7 +70,7 @@ def duplicate_spans(docs: DataFrame, window: int = 35, k: int = 12) -> DataFrame
     places = keyed.mapInArrow(anchors, "anchor long, content long, k1 long, k2 int, start int, count int")
     blocks = places.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high")).where("n > 1")
     blocks = blocks.select("anchor", (F.col("low") != F.col("high")).alias("mixed"))
-    matched = _split_join(places, blocks, "anchor")
+    matched = split_join(places, blocks, "anchor")
     inner = matched.where("not mixed").select("k1", "k2", "start", "count")
     ends = matched.where("mixed").groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "count")).alias("at"))
 
@@ -101,7 +91,7 @@ def duplicate_spans(docs: DataFrame, window: int = 35, k: int = 12) -> DataFrame
 
     single = keyed.join(ends, ["k1", "k2"]).select("k1", "k2", "text", "at").mapInArrow(windows, "content long, k1 long, k2 int, start int")
     again = single.groupBy("content").agg(F.count("*").alias("n")).where("n > 1").select("content")
-    found = _split_join(single, again, "content").select("k1", "k2", "start", F.lit(1).alias("count"))
+    found = split_join(single, again, "content").select("k1", "k2", "start", F.lit(1).alias("count"))
     return inner.unionByName(found)
 
 
