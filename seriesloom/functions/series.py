@@ -132,6 +132,23 @@ def latest(df: DataFrame) -> DataFrame:
     return df.groupBy(*_KEYS).agg(F.max(_at()).alias("at")).select(*_KEYS, F.col("at.ts_ms").alias("ts_ms"), F.col("at.value").alias("value"))
 
 
+def offset(df: DataFrame, ms: int) -> DataFrame:
+    """What the series were so long before: samples moved to later times."""
+    return df.withColumn("ts_ms", F.col("ts_ms") + ms)
+
+
+def gap_scores(df: DataFrame, last: int = 100) -> DataFrame:
+    """How unusual each gap between samples is: (gap - mean) / deviation of the up to `last` gaps before, at least 0.
+
+    A deviation of 0 counts as 1; the first gaps of a series have none to compare with and are left out.
+    """
+    gaps = _steps(df).select(*_KEYS, "ts_ms", "value", F.col("dt").cast("double").alias("dt"))
+    before = _in_order().rowsBetween(-last, -1)
+    m, s = F.avg("dt").over(before), F.stddev_pop("dt").over(before)
+    scored = gaps.withColumn("m", m).withColumn("s", F.when(s > 0, s).otherwise(1.0)).where("m is not null")
+    return _named(scored, F.greatest(F.lit(0.0), (F.col("dt") - F.col("m")) / F.col("s")))
+
+
 def steps(df: DataFrame, start_ms: int, end_ms: int, step_ms: int, lookback_ms: int) -> DataFrame:
     """A range query: at start, start + step, ... each series' last sample not older than lookback.
 

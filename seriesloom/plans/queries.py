@@ -212,6 +212,28 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return series.dod(model.events(spark, d))
 
 
+@query("offset", f"SELECT series_key, ts_ms + {DAY} AS ts_ms, value FROM ev")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return series.offset(model.events(spark, d), DAY).select("series_key", "ts_ms", "value")
+
+
+@query("gap_scores", f"""WITH g AS (SELECT event_type, ts_ms, value, CAST(ts_ms - lag(ts_ms) OVER w AS DOUBLE) AS dt FROM ev WINDOW w AS (PARTITION BY event_type ORDER BY ts_ms, value)),
+s AS (SELECT *, avg(dt) OVER p AS m, stddev_pop(dt) OVER p AS s FROM g WHERE dt IS NOT NULL WINDOW p AS (PARTITION BY event_type ORDER BY ts_ms, value ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING))
+SELECT event_type, ts_ms, round(greatest(0, (dt - m) / CASE WHEN s > 0 THEN s ELSE 1 END), 5) AS value FROM s WHERE m IS NOT NULL""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    by_type = model.samples(model.table(spark, d, "events"), "events", {"event_type": F.col("event_type")}, model.millis("ts"), F.col("value"))
+    return series.gap_scores(by_type).select(F.col("labels")["event_type"].alias("event_type"), "ts_ms", r("value", 5).alias("value"))
+
+
+@query("ivf_recall")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    vectors, target = model.vectors(spark, d), _query_vector(spark, d)
+    centroids = vector.train_lists(vectors, 16)
+    indexed = vector.assign_lists(vectors, centroids)
+    one = F.lit(7).alias("query_id")
+    return vector.recall(vector.probe(indexed, centroids, target, 10, 8).select(one, "id"), vector.nearest(vectors, target, 10).select(one, "id"))
+
+
 @query("range_query_steps", f"""WITH t AS (SELECT 1704067200000 + unnest(range(0, 60)) * {DAY} AS step_ms)
 SELECT series_key, step_ms, arg_max(value, (ts_ms, value)) AS value FROM ev JOIN t ON ts_ms <= step_ms AND ts_ms >= step_ms - {3 * DAY} GROUP BY ALL""")
 def _(spark: SparkSession, d: str) -> DataFrame:

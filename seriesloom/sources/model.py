@@ -18,13 +18,18 @@ def series_key(metric: Column | str, labels: Column | str) -> Column:
 
 
 def samples(df: DataFrame, metric: str, labels: dict[str, Column], ts_ms: Column, value: Column) -> DataFrame:
-    """Rows of any table as samples; rows without a time, a value or any of the labels are left out."""
+    """Rows of any table as samples; rows without a time, a value or any of the labels are left out.
+
+    The names of the labels are known here, so the key is a plain concatenation that stays in generated code.
+    """
+    names = sorted(labels)
     pairs = [x for name, c in labels.items() for x in (F.lit(name), c.cast("string"))]
-    out = df.select(F.lit(metric).alias("metric"), F.create_map(*pairs).alias("labels"), ts_ms.cast("long").alias("ts_ms"), value.cast("double").alias("value"), *[c.isNotNull().alias(f"__{i}") for i, c in enumerate(labels.values())])
-    out = out.where(F.col("ts_ms").isNotNull() & F.col("value").isNotNull())
-    for i in range(len(labels)):
-        out = out.where(F.col(f"__{i}")).drop(f"__{i}")
-    return out.withColumn("series_key", series_key("metric", "labels")).select("metric", "labels", "series_key", "ts_ms", "value")
+    parts = [x for i, n in enumerate(names) for x in (F.lit(("," if i else f"{metric}{{") + f'{n}="'), labels[n].cast("string"), F.lit('"'))]
+    key = F.concat(*parts, F.lit("}")) if names else F.lit(metric)
+    some = df.where(ts_ms.isNotNull() & value.isNotNull())
+    for c in labels.values():
+        some = some.where(c.isNotNull())
+    return some.select(F.lit(metric).alias("metric"), (F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")).alias("labels"), key.alias("series_key"), ts_ms.cast("long").alias("ts_ms"), value.cast("double").alias("value"))
 
 
 def millis(c: Column | str) -> Column:

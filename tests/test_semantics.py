@@ -145,3 +145,26 @@ def test_storage(spark, tmp_path):
     line = storage.exposition(frame(spark, [(1, 2.0)], {"a": 'q"\\'})).first()[0]
     assert line == 'm{a="q\\"\\\\"} 2.000000 1'
     assert model.relabel(frame(spark, [(1, 2.0)]), {"a": "z"}).first()["series_key"] == 'm{a="z"}'
+
+
+def test_streaming_watermark(spark, tmp_path):
+    from seriesloom.streaming import ingest
+
+    hour = 3_600_000
+    for i, points in enumerate([[(0, 1.0), (10, 2.0)], [(5 * hour, 3.0)], [(1, 9.0), (9 * hour, 4.0)]]):
+        frame(spark, points).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = ingest.source(spark, str(tmp_path / "in"), storage.SCHEMA)
+    out = ingest.drain(ingest.downsample(stream), str(tmp_path / "out"), str(tmp_path / "log"))
+    first = out.where("ts_ms = 0").collect()
+    assert len(first) == 1 and first[0]["n"] in (2, 3)
+    rates = ingest.drain(ingest.rate(stream), str(tmp_path / "rates"), str(tmp_path / "log2"))
+    assert rates.where("value < 0").count() == 0 and rates.count() >= 2
+
+
+def test_gap_scores(spark):
+    out = got(series.gap_scores(frame(spark, [(0, 1.0), (10, 1.0), (20, 1.0), (50, 1.0)])))
+    assert out == [(20, 0.0), (50, 20.0)]
+
+
+def test_offset(spark):
+    assert got(series.offset(frame(spark, [(0, 1.0)]), 5)) == [(5, 1.0)]
