@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import split_join, text_slices
@@ -95,6 +95,19 @@ def duplicate_spans(docs: DataFrame, window: int = 35, k: int = 12) -> DataFrame
     return inner.unionByName(found)
 
 
+def factors(docs: DataFrame, window: int = 35, k: int = 12) -> DataFrame:
+    """doc_id, start, length in words: the longest factors of each document all of whose windows occur again.
+
+    Adjacent runs of windows make one factor; factors may overlap by less than a window. Rows that repeat give their
+    factors once.
+    """
+    order = Window.partitionBy("k1", "k2").orderBy("start", "count")
+    reach = F.max(F.col("start") + F.col("count")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = duplicate_spans(docs, window, k).distinct().withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
+    runs = marked.withColumn("run", F.sum("new").over(order)).groupBy("k1", "k2", "run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("count")).alias("end"))
+    return runs.select(F.nullif(F.col("k1"), F.lit(-(2**63))).alias("doc_id"), "start", (F.col("end") - F.col("start") + window - 1).alias("length"))
+
+
 def remove_repeats(docs: DataFrame, window: int = 35, k: int = 12) -> DataFrame:
     """docs with n_words, n_removed and kept: the words left, joined by one space.
 

@@ -86,6 +86,14 @@ def test_substring_brute_force(spark, window, k, seed):
     assert sorted(map(tuple, got), key=str) == removed_by_hand(rows, window)
 
 
+def test_factors(spark):
+    shared = [f"s{i}" for i in range(30)]
+    rows = [(1, " ".join(["a1", *shared, "a2"])), (2, " ".join(["b1", "b2", *shared[:20], "edit", *shared[21:]])), (3, "nothing here " * 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, substring_dedup.factors(df, 8, 3).collect()))
+    assert got == [(1, 1, 20), (1, 22, 9), (2, 2, 20), (2, 23, 9)]
+
+
 def test_substring_edges(spark, edge, empty):
     out = substring_dedup.remove_repeats(edge, 4, 2)
     assert set(out.columns) == set(edge.columns) | {"n_removed"} and out.count() == edge.count()
