@@ -16,7 +16,7 @@ _SUFFIX = "'(?:s|t|re|ve|m|ll|d)"
 _BYTE_LEVEL = re.compile(rf"{_SUFFIX}| ?[{_LETTER}]+| ?[0-9]+| ?[^\t\n\r {_LETTER}0-9]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+")
 _WORD_LEVEL = re.compile(rf"{_SUFFIX}|[{_LETTER}]+|[0-9]|[^\t\n\r {_LETTER}0-9]+")
 #: Entries that a worker keeps at most; at the bound the cache starts anew.
-CACHE = 1_000_000
+CACHE = 500_000
 _LOADED: dict[str, "Encoder"] = {}
 
 
