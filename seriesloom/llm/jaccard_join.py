@@ -1,14 +1,20 @@
 """N-gram Jaccard join: universe partition and pigeonhole signatures, then exact verification.
 
-Sets are cut into segments by a hash of their tokens, as many as their size band needs: two sets of a band that reach
-the threshold differ in H tokens at most, so of H + j segments j are equal. Each set is indexed by its j-subsets of
-segments, j = 1 or 2 for a band as costs less. Segments empty on both sides prove nothing and are not indexed; the
-differences that they leave to the rest are then spent on one-deletion neighbourhoods of the first segments: with e
-common empty segments, one of any e others differs in one token exactly unless some are equal.
+Sets are cut into segments by a hash of their tokens, segments into groups of `width`. Each difference spoils one segment,
+so of groups that can take more than all differences of a pair one keeps j equal segments: sets are indexed by the
+j-subsets of their groups' segments, with j and width for a size band as costs less. Bands share a number of segments, but
+a set is indexed by its first groups only, as many as its own size can need.
+
+Segments empty on both sides prove nothing: there are `slack` more segments than differences, and subsets with an empty
+segment are not indexed. The few sets with more empty segments than that are indexed again, by single segments, one more
+than differences; what their empty ones leave to the rest is spent on one-deletion neighbourhoods of the first segments:
+with e common empty segments, one of any e others differs in one token exactly unless some are equal.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -66,72 +72,117 @@ def _set_ids(token: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return ids.view(np.int64)
 
 
-def bands(growth: float, top: int = 1 << 40) -> np.ndarray:
-    """First sizes of the bands."""
-    edges = [1]
+def bands(o: Options, top: int = 1 << 40) -> np.ndarray:
+    """First sizes of the bands, so wide that a set links into its own and the next at most."""
+    edges, growth = [1], max(o.growth, o.of / o.at)
     while edges[-1] < top:
         edges.append(max(edges[-1] + 1, int(edges[-1] * growth)))
     return np.array(edges, np.int64)
 
 
-def allocation(counts: dict[int, int], o: Options) -> dict[int, tuple[int, int]]:
-    """Segments and subset size for each band with sets: the cheaper of j = 1 and 2, by index rows and chance matches.
+@dataclass(frozen=True)
+class Layout:
+    """How a band is indexed: its most differences, groups of `width` segments, of which subsets of j are taken."""
+
+    h: int
+    groups: int
+    width: int
+    j: int
+    slack: int
+
+    def needed(self, h: np.ndarray | int) -> np.ndarray | int:
+        """Groups in which h differences and the slack leave j equal segments somewhere."""
+        return -(-(h + 1 + self.slack) // (self.width - self.j + 1))
+
+
+def _layout(h: int, least: int, width: int, j: int) -> Layout:
+    """Slack is four deviations above the mean of empty segments of the smallest sets."""
+    slack = 0
+    for _ in range(20):
+        m = width * -(-(h + 1 + slack) // (width - j + 1))
+        empty = m * math.exp(-least / m)
+        wanted = min(h, int(empty + 4 * math.sqrt(empty) + 0.5))
+        if wanted <= slack:
+            break
+        slack = wanted
+    return Layout(h, Layout(h, 0, width, j, slack).needed(h), width, j, slack)
+
+
+def allocation(counts: dict[int, int], o: Options) -> dict[int, Layout]:
+    """The layout of each band with sets: the cheapest, by index rows and chance matches.
 
     counts: sets by band, as many entries as bands. Bands in which only equal sets link get none.
     """
-    edges, out = bands(o.growth), {}
+    edges, out = bands(o), {}
     for band, n in counts.items():
         least, most = int(edges[band]), int(edges[band + 1]) - 1
-        h = 2 * most * (o.of - o.at) // (o.of + o.at)  # |x| + |y| - 2 |x and y| at the threshold
+        h = _most_apart(most, most, o)
         if h:
             costs = []
-            for j in (1, 2):
-                m = h + j
-                subsets = m if j == 1 else m * (m - 1) // 2
-                costs.append((subsets * (1 + n * o.match ** (j * least / m)), j))
-            out[band] = (h + min(costs)[1], min(costs)[1])
+            for width, j in ((1, 1), (3, 2), (4, 2), (6, 2)):
+                x = _layout(h, least * o.at // o.of, width, j)
+                costs.append((x.groups * math.comb(width, j) * (1 + n * o.match ** (j * least / (x.groups * width))), width, x))
+            out[band] = min(costs, key=lambda c: c[:2])[2]
     return out
 
 
-def _signatures(token: np.ndarray, ptr: np.ndarray, plan: dict[int, tuple[int, int]], edges: np.ndarray, o: Options) -> tuple[np.ndarray, np.ndarray]:
+def _cells(token: np.ndarray, ptr: np.ndarray, rows: np.ndarray, m: int) -> tuple[np.ndarray, ...]:
+    """Of each of the rows and m segments the sum of tokens' hashes and whether there are any; cells and hashes by cell."""
+    n = np.diff(ptr)[rows]
+    row = np.repeat(np.arange(len(rows)), n)
+    t = token[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ptr[rows], n)]
+    cell = row * m + (mix(t ^ np.uint64(0x5BD1E995)) % np.uint64(m)).astype(np.int64)
+    order = np.argsort(cell, kind="stable")
+    cell, value = cell[order], mix(t[order] ^ np.uint64(0x27D4EB2F165667C5))
+    first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+    sums, filled = np.zeros(len(rows) * m, np.uint64), np.zeros(len(rows) * m, bool)
+    sums[cell[first]] = np.add.reduceat(value, first)
+    filled[cell[first]] = True
+    return sums.reshape(-1, m), filled.reshape(-1, m), cell, value
+
+
+def _signatures(token: np.ndarray, ptr: np.ndarray, plan: dict[int, Layout], edges: np.ndarray, o: Options) -> tuple[np.ndarray, np.ndarray]:
     """Signatures and the set of each. A set is indexed in its own band, and in the next if a set there may link to it."""
     size = np.diff(ptr)
     own = np.searchsorted(edges, size, "right") - 1
     outs, of = [], []
-    reach = np.searchsorted(edges, size * o.of // o.at, "right") - 1
+    largest = size * o.of // o.at
+    reach = np.searchsorted(edges, largest, "right") - 1
     for band in np.unique(np.concatenate((own, reach))):
         if int(band) not in plan:
             continue
-        m, j = plan[int(band)]
+        x = plan[int(band)]
         rows = np.flatnonzero((size > 0) & ((own == band) | (reach == band)))
-        n = size[rows]
-        row = np.repeat(np.arange(len(rows)), n)
-        t = token[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ptr[rows], n)]
-        cell = row * m + (mix(t ^ np.uint64(0x5BD1E995)) % np.uint64(m)).astype(np.int64)
-        order = np.argsort(cell, kind="stable")
-        cell, value = cell[order], mix(t[order] ^ np.uint64(0x27D4EB2F165667C5))
-        first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-        sums, filled = np.zeros(len(rows) * m, np.uint64), np.zeros(len(rows) * m, bool)
-        sums[cell[first]] = np.add.reduceat(value, first)
-        filled[cell[first]] = True
-        sums, filled = sums.reshape(-1, m), filled.reshape(-1, m)
+        m = x.groups * x.width
+        sums, filled, _, _ = _cells(token, ptr, rows, m)
+        # a pair is found in the first groups of the set that needs fewer
+        apart = _most_apart(size[rows], np.minimum(largest[rows], edges[band + 1] - 1), o)
+        within = np.arange(x.groups) < x.needed(apart)[:, None]
+        filled &= np.repeat(within, x.width, axis=1)
         tag = mix(np.arange(m, dtype=np.uint64) + (np.uint64(int(band) + 1) << np.uint64(32)))
-        if j == 1:
-            r, i = np.nonzero(filled)
-            outs.append(mix(sums[r, i] + tag[i]))
+        in_group, full = (sums + tag).reshape(-1, x.groups, x.width), filled.reshape(-1, x.groups, x.width)
+        for subset in itertools.combinations(range(x.width), x.j):
+            r, g = np.nonzero(full[:, :, subset].all(axis=2))
+            sig = np.zeros(len(r), np.uint64)
+            for i in subset:
+                sig = mix(sig * np.uint64(3) + mix(in_group[r, g, i]))
+            outs.append(sig)
             of.append(rows[r])
-        else:
-            for a in range(m):
-                for b in range(a + 1, m):
-                    r = np.flatnonzero(filled[:, a] | filled[:, b])
-                    outs.append(mix(mix(sums[r, a] + tag[a]) * np.uint64(3) + mix(sums[r, b] + tag[b])))
-                    of.append(rows[r])
+        odd = rows[within.sum(axis=1) * x.width - filled.sum(axis=1) > x.slack]
+        if not len(odd):
+            continue
+        m = x.h + 1
+        sums, filled, cell, value = _cells(token, ptr, odd, m)
+        tag = mix(np.arange(m, dtype=np.uint64) + (np.uint64(int(band) + 1) << np.uint64(32)) + np.uint64(1 << 63))
+        r, i = np.nonzero(filled)
+        outs.append(mix(sums[r, i] + tag[i]))
+        of.append(odd[r])
         for r in np.flatnonzero(~filled.all(axis=1)):
             for i in range(min(m, 2 * int((~filled[r]).sum()))):
                 a, b = np.searchsorted(cell, [r * m + i, r * m + i + 1])
                 near = np.concatenate(([sums[r, i]], sums[r, i] - value[a:b]))
                 outs.append(mix(mix(near + tag[i]) ^ np.uint64(0x9E3779B97F4A7C15)))
-                of.append(np.full(len(near), rows[r]))
+                of.append(np.full(len(near), odd[r]))
     if not outs:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(outs), np.concatenate(of)
@@ -215,7 +266,7 @@ def set_components(docs: DataFrame, o: Options = Options()) -> tuple[DataFrame,
     between components is missed.
     """
     keyed = docs.select(row_key().alias("rk"), "text")
-    edges = bands(o.growth)
+    edges = bands(o)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):

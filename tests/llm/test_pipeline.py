@@ -19,7 +19,7 @@ def test_stages(spark):
         if name != "packing":
             assert docs.columns == columns
     before, rows = kept["near_duplicates"]
-    assert {r["doc_id"] for r in rows} == {c for _, _, c in components_by_hand(before, 3, 90, 100)}
+    assert {r["doc_id"] for r in rows} == {c for _, _, c in components_by_hand(before, 5, 80, 100)}
     before, rows = kept["repeated_passages"]
     cut = {d: (n, gone, text) for d, n, gone, text in removed_by_hand(before, 35)}
     assert {r["doc_id"] for r in rows} == {d for d, (n, gone, _) in cut.items() if not gone or gone < n}
@@ -39,3 +39,10 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_near_copies_by_five_words(spark):
+    words = [f"w{i}" for i in range(400)]
+    edited = [f"e{i}" if i % 50 == 25 else w for i, w in enumerate(words)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(edited))], "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()] == [1]

@@ -144,6 +144,19 @@ def test_jaccard_brute_force(spark, at, small, block, seed):
     assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == components_by_hand(rows, 3, at, 100)
 
 
+@pytest.mark.parametrize("n, at, match", [(5, 80, 0.3), (5, 80, 0.0), (3, 60, 0.3), (3, 90, 0.3)])
+def test_jaccard_prefixes_of_any_size(spark, n, at, match):
+    """Each document and its prefixes just above and below the threshold; with match=0 single segments."""
+    rows = []
+    for base, size in enumerate([6, 7, 9, 11, 14, 18, 23, 31, 44, 60, 95, 140, 260, 500]):
+        words = [f"b{base}w{i}" for i in range(size + n - 1)]
+        least = -(-size * at // 100)
+        rows += [(base * 10, " ".join(words)), (base * 10 + 1, " ".join(words[: least + n - 1])), (base * 10 + 2, " ".join(words[: max(1, least * at // 100 - 1 + n - 1)]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard_join.jaccard_components(df, jaccard_join.Options(n=n, at=at, match=match))
+    assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == components_by_hand(rows, n, at, 100)
+
+
 def test_jaccard_edges(spark, edge, empty):
     out = jaccard_join.jaccard_components(edge)
     assert out.count() == edge.count() and set(out.columns) == set(edge.columns) | {"n_shingles"}
