@@ -15,9 +15,9 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that links join, the one of smallest doc_id stays: five words, a similarity of 0.8."""
+    """Of each group of documents that links join, one row of the smallest doc_id stays: five words, a similarity of 0.8."""
     ship(spark)
-    return jaccard_join.jaccard_components(docs, jaccard_join.Options(n=5, at=80)).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(*docs.columns)
+    return jaccard_join.one_of_each(docs, jaccard_join.Options(n=5, at=80))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

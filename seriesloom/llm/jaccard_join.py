@@ -363,6 +363,24 @@ def jaccard_components(docs: DataFrame, o: Options = Options()) -> DataFrame:
     return joined.drop("__rk", "__smallest")
 
 
+def one_of_each(docs: DataFrame, o: Options = Options()) -> DataFrame:
+    """One row of each class: of the smallest doc_id, null ones last, then the smallest hashes of text and other columns.
+
+    Rows that repeat are one class, so one of them stays; rows without words link with nothing else.
+    """
+    members, labels = set_components(docs, o)
+    named = members.select(F.col("rk").alias("__rk"), "n_shingles", "set_id").distinct()
+    classes = named.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("__rk", F.coalesce("component", "set_id").alias("class"), F.when(F.col("n_shingles") == 0, F.col("__rk")).alias("alone"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    keyed = docs.withColumn("__rk", row_key()).withColumn("__other", F.xxhash64(*others) if others else F.lit(0).cast("long"))
+    ids = keyed.groupBy("doc_id", "__rk", "__other").agg(F.count("*").alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__rk", "__other", "n"))
+    chosen = stage(ids.join(classes, "__rk").groupBy("class", "alone").agg(least.alias("x")).select("x.__rk", "x.__other", "x.n"), "chosen")
+    key = ["__rk", "__other"]
+    single, several = (keyed.join(chosen.where(x).drop("n"), key) for x in ("n = 1", "n > 1"))
+    return single.unionByName(several.dropDuplicates(key)).select(*docs.columns)
+
+
 ORACLE = r"""
 WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 grams AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS g FROM docs),

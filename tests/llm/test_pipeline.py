@@ -1,5 +1,7 @@
 """The pipeline's stages on a small table, each against brute force or its own rule."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from seriesloom.llm.common import stage, table
 from tests.llm.test_binary_operators import check_packing
@@ -46,3 +48,16 @@ def test_near_copies_by_five_words(spark):
     edited = [f"e{i}" if i % 50 == 25 else w for i, w in enumerate(words)]
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(edited))], "doc_id long, text string")
     assert [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()] == [1]
+
+
+def test_repeated_rows_keep_one(spark):
+    text = {x: " ".join(f"{x}{i}" for i in range(60)) for x in "abcd"}
+    rows = [(1, text["a"], "en"), (1, text["a"], "en"), (1, text["a"], "de"), (2, text["b"], "en"), (2, text["b"] + " more", "en"), (None, text["c"], "en"), (None, text["c"], "en"), (None, text["c"] + " x", "en"), (3, text["d"], "en"), (None, text["d"], "en"), (4, "", "en"), (5, None, "en"), (4, "", "en"), (None, None, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("n_chars", F.length("text").cast("long")).repartition(3)
+    left = corpus_pipeline.near_duplicates(spark, df, SF)
+    assert left.columns == df.columns
+    left = stage(left, "left")
+    got = sorted(((r["doc_id"], (r["text"] or "")[:1]) for r in left.collect()), key=str)
+    assert got == sorted([(1, "a"), (2, "b"), (None, "c"), (3, "d"), (4, ""), (5, ""), (None, "")], key=str)
+    out = corpus_pipeline.repeated_passages(spark, left, SF)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, left.collect()), key=str)
