@@ -39,15 +39,20 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts the lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/stage/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def row_key() -> F.Column:
-    """Identifies a document row; equal rows share it, which is harmless as they are treated alike."""
+    """Seeds what is drawn for a document row; equal rows draw alike."""
     return F.xxhash64("doc_id", "text")
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs as a staged table with __row, a number of each row's own, so that repeated rows and null ids stay apart."""
+    return stage(docs.withColumn("__row", F.monotonically_increasing_id()), name)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice holds about `limit` bytes of text (one row at least), to bound memory."""
     import numpy as np
@@ -67,14 +72,15 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             first = last
 
 
-def split_join(rows: DataFrame, counts: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """rows joined with counts, which are one row a key, by an expression of the key.
+def split_join(rows: DataFrame, counts: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+    """rows joined with counts, which are one row for each value of the keys, by expressions of the keys.
 
     counts are dealt out by the key itself already; a join by the key would take them as they lie, and the adaptive
     plan splits hot keys only where both sides are shuffled for the join.
     """
-    other = counts.withColumn("__key", F.bitwise_not(key)).drop(key)
-    return rows.join(other, F.bitwise_not(rows[key]) == other["__key"], how).drop("__key")
+    other = counts.select(*[F.bitwise_not(k).alias(f"__{k}") for k in keys], *[c for c in counts.columns if c not in keys])
+    on = [F.bitwise_not(rows[k]) == other[f"__{k}"] for k in keys]
+    return rows.join(other, on, how).drop(*[f"__{k}" for k in keys])
 
 
 def kth_largest(df: DataFrame, column: str, k: int, fan: int = 2048) -> float | None:

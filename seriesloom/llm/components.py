@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import stage
 
 
-def components(edges: DataFrame, most: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of edges (a, b); component is the smallest node reachable.
 
     A round gives every node the smallest label among its neighbours', then the label of that label, so a path of n
@@ -17,7 +17,7 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = stage(both, "edges")
     labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("component")), "labels")
-    for _ in range(most):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
         nearer = labels.join(near, labels["node"] == near["a"]).select("node", F.least("component", "near").alias("component"), F.col("component").alias("old"))
         # the label's own label; a node's label is a node
@@ -27,4 +27,3 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
         labels = jumped.select("node", "component")
         if jumped.where("changed").isEmpty():
             return labels
-    raise RuntimeError("components did not settle")

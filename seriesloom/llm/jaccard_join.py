@@ -1,14 +1,20 @@
-"""N-gram Jaccard join: universe partition and pigeonhole signatures, then exact verification.
+"""N-gram Jaccard join: universe partition and pigeonhole signatures, then exact verification on the words.
 
-Sets are cut into segments by a hash of their tokens, segments into groups of `width`. Each difference spoils one segment,
-so of groups that can take more than all differences of a pair one keeps j equal segments: sets are indexed by the
-j-subsets of their groups' segments, with j and width for a size band as costs less. Bands share a number of segments, but
-a set is indexed by its first groups only, as many as its own size can need.
+Tokens are hashed into segments. Two linked sets of a size band differ in h tokens at most, and each difference spoils one
+segment. A band is indexed in the way that costs least (`allocation`):
 
-Segments empty on both sides prove nothing: there are `slack` more segments than differences, and subsets with an empty
-segment are not indexed. The few sets with more empty segments than that are indexed again, by single segments, one more
-than differences; what their empty ones leave to the rest is spent on one-deletion neighbourhoods of the first segments:
-with e common empty segments, one of any e others differs in one token exactly unless some are equal.
+- by segments, h + 1 of them: one stays equal;
+- by subsets of j segments in groups of `width`: a group with at most width - j spoiled ones keeps j equal;
+- by one-deletion neighbourhoods, h // 2 + 1 segments: one has one difference at most, so its token sums agree, or do
+  when one token is left out.
+
+Bands share a number of segments, but a set is indexed by its first groups only, as many as its own size can need.
+
+A segment that is empty proves nothing (in neighbourhoods, one of a single token neither), and no signature is made of it.
+Each set has some more segments than differences for such weak ones (`slack`: two deviations above their mean). Of a pair
+one set with no more weak segments than that is enough. The few sets with more are indexed by all segments, for the sake
+of the others, and among themselves by the first h + 1 tokens in the order of hashes: of h differences one of these is
+common to both.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_key, split_join, stage, text_slices
+from .common import numbered, split_join, stage, text_slices
 from .components import components
 from .words import Spans, gram_starts, mix, words
 
@@ -40,36 +46,46 @@ class Options:
     n: int = 3
     at: int = 90
     of: int = 100
-    growth: float = 1.25
+    growth: float = 1.6
     match: float = 0.3
     block: int = 1_000_000
     small: int = 8
 
 
-def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes, distinct and sorted in each text, and the start of each text's (and the end)."""
+def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token hashes, distinct and sorted in each text, the start of each text's (and the end), and second hashes."""
     w = words(column, lower=True)
-    spans, count = Spans(w.hash), np.diff(w.ptr)
+    spans, others, count = Spans(w.hash), Spans(w.second, 1), np.diff(w.ptr)
     start, text = gram_starts(w.ptr, n)
     few = np.flatnonzero((count > 0) & (count < n))
     token = np.concatenate((spans.of(start, n), spans.of(w.ptr[few], count[few])))
+    second = np.concatenate((others.of(start, n), others.of(w.ptr[few], count[few])))
     text = np.concatenate((text, few))
     order = np.lexsort((token, text))
-    token, text = token[order], text[order]
+    token, text, second = token[order], text[order], second[order]
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (text[1:] != text[:-1])
-    token, text = token[new], text[new]
-    return token, np.searchsorted(text, np.arange(len(column) + 1))
+    token, text, second = token[new], text[new], second[new]
+    return token, np.searchsorted(text, np.arange(len(column) + 1)), second
+
+
+def _set_hashes(token: np.ndarray, ptr: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each set, sums over its tokens; 0 for empty sets."""
+    n, out = np.diff(ptr).astype(np.uint64), []
+    for x, salt in ((token, 0xA5A5A5A5A5A5A5A5), (second, 0x3C6EF372FE94F82B)):
+        total = np.concatenate(([np.uint64(0)], np.cumsum(mix(x ^ np.uint64(salt)))))
+        h = mix((total[ptr[1:]] - total[ptr[:-1]]) + mix(n + np.uint64(salt)))
+        h[n == 0] = 0
+        out.append(h)
+    return out[0], out[1]
 
 
-def _set_ids(token: np.ndarray, ptr: np.ndarray) -> np.ndarray:
-    """One hash for each set, of all its tokens; 0 for empty sets."""
-    total = np.concatenate(([np.uint64(0)], np.cumsum(mix(token ^ np.uint64(0xA5A5A5A5A5A5A5A5)))))
-    n = np.diff(ptr).astype(np.uint64)
-    other = Spans(token).of(ptr[:-1], np.diff(ptr))
-    ids = mix((total[ptr[1:]] - total[ptr[:-1]]) + mix(other + n))
-    ids[n == 0] = 0
-    return ids.view(np.int64)
+def _set_ids(token: np.ndarray, ptr: np.ndarray, second: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """The first hash, or for those that several sets have (`shared`, sorted) one of both."""
+    a, b = _set_hashes(token, ptr, second)
+    if len(shared):
+        a = np.where(np.isin(a, shared), mix(a ^ mix(b)), a)
+    return a.view(np.int64)
 
 
 def bands(o: Options, top: int = 1 << 40) -> np.ndarray:
@@ -82,30 +98,42 @@ def bands(o: Options, top: int = 1 << 40) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Layout:
-    """How a band is indexed: its most differences, groups of `width` segments, of which subsets of j are taken."""
+    """How a band is indexed: groups of `width` segments, of which subsets of j are taken, or (near) single segments
+    with one-deletion neighbourhoods. A segment of `near` tokens or fewer is weak."""
 
-    h: int
     groups: int
     width: int
     j: int
-    slack: int
+    near: bool
 
-    def needed(self, h: np.ndarray | int) -> np.ndarray | int:
-        """Groups in which h differences and the slack leave j equal segments somewhere."""
-        return -(-(h + 1 + self.slack) // (self.width - self.j + 1))
+    @property
+    def segments(self) -> int:
+        return self.groups * self.width
 
+    def slack(self, size: np.ndarray | float, segments: int | None = None) -> np.ndarray:
+        """Weak segments of a set of that size: two deviations above the mean."""
+        m = float(segments or self.segments)
+        load = np.asarray(size, np.float64) / m
+        weak = m * np.exp(-load) * (1 + load * self.near)
+        return (weak + 2 * np.sqrt(weak) + 0.5).astype(np.int64)
 
-def _layout(h: int, least: int, width: int, j: int) -> Layout:
-    """Slack is four deviations above the mean of empty segments of the smallest sets."""
-    slack = 0
+    def needed(self, apart: np.ndarray, slack: np.ndarray) -> np.ndarray:
+        """Groups of which one is good after so many differences and weak segments."""
+        if self.near:
+            return apart // 2 + 1 + slack
+        return -(-(apart + 1 + slack) // (self.width - self.j + 1))
+
+    def room(self, apart: np.ndarray) -> np.ndarray:
+        """The largest slack for which all groups are enough."""
+        return self.groups - 1 - apart // 2 if self.near else self.groups * (self.width - self.j + 1) - 1 - apart
+
+
+def _layout(h: int, most: int, width: int, j: int, near: bool) -> Layout:
+    """The band's largest sets need all groups; for smaller ones slack ends at what is left of them."""
+    shape, m = Layout(1, width, j, near), width
     for _ in range(20):
-        m = width * -(-(h + 1 + slack) // (width - j + 1))
-        empty = m * math.exp(-least / m)
-        wanted = min(h, int(empty + 4 * math.sqrt(empty) + 0.5))
-        if wanted <= slack:
-            break
-        slack = wanted
-    return Layout(h, Layout(h, 0, width, j, slack).needed(h), width, j, slack)
+        m = width * int(shape.needed(np.int64(h), shape.slack(most, m)))
+    return Layout(m // width, width, j, near)
 
 
 def allocation(counts: dict[int, int], o: Options) -> dict[int, Layout]:
@@ -116,75 +144,74 @@ def allocation(counts: dict[int, int], o: Options) -> dict[int, Layout]:
     edges, out = bands(o), {}
     for band, n in counts.items():
         least, most = int(edges[band]), int(edges[band + 1]) - 1
-        h = _most_apart(most, most, o)
+        h = int(_most_apart(most, most, o))
         if h:
             costs = []
-            for width, j in ((1, 1), (3, 2), (4, 2), (6, 2)):
-                x = _layout(h, least * o.at // o.of, width, j)
-                costs.append((x.groups * math.comb(width, j) * (1 + n * o.match ** (j * least / (x.groups * width))), width, x))
+            for i, (width, j, near) in enumerate(((1, 1, False), (3, 2, False), (4, 2, False), (1, 1, True))):
+                x = _layout(h, most, width, j, near)
+                rows = x.groups + least if near else x.groups * math.comb(width, j)
+                evidence = max(0.0, least / x.groups - 1 if near else j * least / x.segments)
+                costs.append((rows * (1 + n * o.match**evidence), i, x))
             out[band] = min(costs, key=lambda c: c[:2])[2]
     return out
 
 
-def _cells(token: np.ndarray, ptr: np.ndarray, rows: np.ndarray, m: int) -> tuple[np.ndarray, ...]:
-    """Of each of the rows and m segments the sum of tokens' hashes and whether there are any; cells and hashes by cell."""
-    n = np.diff(ptr)[rows]
-    row = np.repeat(np.arange(len(rows)), n)
-    t = token[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ptr[rows], n)]
-    cell = row * m + (mix(t ^ np.uint64(0x5BD1E995)) % np.uint64(m)).astype(np.int64)
-    order = np.argsort(cell, kind="stable")
-    cell, value = cell[order], mix(t[order] ^ np.uint64(0x27D4EB2F165667C5))
-    first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-    sums, filled = np.zeros(len(rows) * m, np.uint64), np.zeros(len(rows) * m, bool)
-    sums[cell[first]] = np.add.reduceat(value, first)
-    filled[cell[first]] = True
-    return sums.reshape(-1, m), filled.reshape(-1, m), cell, value
-
-
 def _signatures(token: np.ndarray, ptr: np.ndarray, plan: dict[int, Layout], edges: np.ndarray, o: Options) -> tuple[np.ndarray, np.ndarray]:
     """Signatures and the set of each. A set is indexed in its own band, and in the next if a set there may link to it."""
     size = np.diff(ptr)
     own = np.searchsorted(edges, size, "right") - 1
-    outs, of = [], []
+    outs, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     largest = size * o.of // o.at
     reach = np.searchsorted(edges, largest, "right") - 1
     for band in np.unique(np.concatenate((own, reach))):
         if int(band) not in plan:
             continue
-        x = plan[int(band)]
+        x, salt = plan[int(band)], np.uint64(int(band) + 1) << np.uint64(32)
         rows = np.flatnonzero((size > 0) & ((own == band) | (reach == band)))
-        m = x.groups * x.width
-        sums, filled, _, _ = _cells(token, ptr, rows, m)
+        n, m = size[rows], x.segments
+        # the tokens of these sets by segment: their sums and numbers
+        row = np.repeat(np.arange(len(rows)), n)
+        t = token[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ptr[rows], n)]
+        segment = (mix(t ^ np.uint64(0x5BD1E995)) % np.uint64(m)).astype(np.int64)
+        cell = row * m + segment
+        order = np.argsort(cell, kind="stable")
+        cell, value = cell[order], mix(t[order] ^ np.uint64(0x27D4EB2F165667C5))
+        first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+        sums, held = np.zeros(len(rows) * m, np.uint64), np.zeros(len(rows) * m, np.int64)
+        sums[cell[first]] = np.add.reduceat(value, first)
+        held[cell[first]] = np.diff(np.concatenate((first, [len(cell)])))
+        sums, held = sums.reshape(-1, m), held.reshape(-1, m)
         # a pair is found in the first groups of the set that needs fewer
-        apart = _most_apart(size[rows], np.minimum(largest[rows], edges[band + 1] - 1), o)
-        within = np.arange(x.groups) < x.needed(apart)[:, None]
-        filled &= np.repeat(within, x.width, axis=1)
-        tag = mix(np.arange(m, dtype=np.uint64) + (np.uint64(int(band) + 1) << np.uint64(32)))
-        in_group, full = (sums + tag).reshape(-1, x.groups, x.width), filled.reshape(-1, x.groups, x.width)
-        for subset in itertools.combinations(range(x.width), x.j):
-            r, g = np.nonzero(full[:, :, subset].all(axis=2))
-            sig = np.zeros(len(r), np.uint64)
-            for i in subset:
-                sig = mix(sig * np.uint64(3) + mix(in_group[r, g, i]))
-            outs.append(sig)
+        apart = _most_apart(n, np.minimum(largest[rows], edges[band + 1] - 1), o)
+        slack = np.minimum(x.slack(n), x.room(apart))
+        within = np.repeat(np.arange(x.groups) < x.needed(apart, slack)[:, None], x.width, axis=1)
+        odd = ((held <= x.near) & within).sum(axis=1) > slack
+        within |= odd[:, None]
+        filled = (held > 0) & within
+        tag = mix(np.arange(m, dtype=np.uint64) + salt)
+        if x.near:
+            r, i = np.nonzero(filled)
+            outs.append(mix(sums[r, i] + tag[i]))
             of.append(rows[r])
-        odd = rows[within.sum(axis=1) * x.width - filled.sum(axis=1) > x.slack]
-        if not len(odd):
-            continue
-        m = x.h + 1
-        sums, filled, cell, value = _cells(token, ptr, odd, m)
-        tag = mix(np.arange(m, dtype=np.uint64) + (np.uint64(int(band) + 1) << np.uint64(32)) + np.uint64(1 << 63))
-        r, i = np.nonzero(filled)
-        outs.append(mix(sums[r, i] + tag[i]))
-        of.append(odd[r])
-        for r in np.flatnonzero(~filled.all(axis=1)):
-            for i in range(min(m, 2 * int((~filled[r]).sum()))):
-                a, b = np.searchsorted(cell, [r * m + i, r * m + i + 1])
-                near = np.concatenate(([sums[r, i]], sums[r, i] - value[a:b]))
-                outs.append(mix(mix(near + tag[i]) ^ np.uint64(0x9E3779B97F4A7C15)))
-                of.append(np.full(len(near), odd[r]))
-    if not outs:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            r, i = cell // m, cell % m
+            use = np.flatnonzero((held[r, i] > 1) & within[r, i])
+            outs.append(mix(sums[r[use], i[use]] - value[use] + tag[i[use]]))
+            of.append(rows[r[use]])
+        else:
+            tagged, full = (sums + tag).reshape(-1, x.groups, x.width), filled.reshape(-1, x.groups, x.width)
+            for subset in itertools.combinations(range(x.width), x.j):
+                r, g = np.nonzero(full[:, :, subset].all(axis=2))
+                sig = np.zeros(len(r), np.uint64)
+                for i in subset:
+                    sig = mix(sig * np.uint64(3) + mix(tagged[r, g, i]))
+                outs.append(sig)
+                of.append(rows[r])
+        # tokens are in the order of their hashes
+        r = np.flatnonzero(odd)
+        take = np.minimum(apart[r] + 1, n[r])
+        at = np.arange(int(take.sum())) - np.repeat(np.cumsum(take) - take, take) + np.repeat(ptr[rows[r]], take)
+        outs.append(mix(token[at] + (salt | np.uint64(1 << 63))))
+        of.append(np.repeat(rows[r], take))
     return np.concatenate(outs), np.concatenate(of)
 
 
@@ -199,7 +226,7 @@ def _fold(sketch: np.ndarray, cells: int) -> np.ndarray:
     return np.minimum(sketch.reshape(-1, cells).sum(axis=0), 255)
 
 
-def _most_apart(a: np.ndarray | int, b: int, o: Options) -> np.ndarray | int:
+def _most_apart(a: np.ndarray | int, b: np.ndarray | int, o: Options) -> np.ndarray | int:
     """How many tokens two linked sets of these sizes differ in at most."""
     return (a + b) * (o.of - o.at) // (o.of + o.at)
 
@@ -216,14 +243,23 @@ def _near(batches: Iterator[pa.RecordBatch], o: Options) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def shingles(text: str | None, n: int) -> set[tuple[bytes, ...]]:
+    """The set itself: words, not hashes. bytes.lower and bytes.split know ASCII only."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return set(zip(*(w[i:] for i in range(n)), strict=False)) if len(w) >= n else {tuple(w)} - {()}
+
+
 def _verified(batches: Iterator[pa.RecordBatch], o: Options) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) whose sets (x, y) link."""
+    """Pairs (a, b) whose texts (x, y) link; a pair's second set is often the next one's too."""
+    last, y = None, set()
     for batch in batches:
         keep = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(o.of * both >= o.at * (len(x) + len(y) - both))
+        for b, left, right in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            if b != last:
+                last, y = b, shingles(right.as_py(), o.n)
+            x = shingles(left.as_py(), o.n)
+            both = len(x & y)
+            keep.append(both > 0 and o.of * both >= o.at * (len(x) + len(y) - both))
         yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -237,7 +273,7 @@ def _with_sets(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
 def _links(pairs: DataFrame, sets: DataFrame, o: Options) -> DataFrame:
     """The pairs that link: first by sketches, a fraction of the sets' size, then exactly."""
     pairs = _with_sets(pairs, sets, "n", "sketch").mapInArrow(lambda it: _near(it, o), "a long, b long")
-    return stage(_with_sets(pairs, sets, "tokens").mapInArrow(lambda it: _verified(it, o), "a long, b long"), "links")
+    return stage(_with_sets(pairs, sets, "text").mapInArrow(lambda it: _verified(it, o), "a long, b long"), "links")
 
 
 def _block_pairs(pdf: pd.DataFrame, o: Options) -> pd.DataFrame:
@@ -257,23 +293,39 @@ def _block_pairs(pdf: pd.DataFrame, o: Options) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def set_components(docs: DataFrame, o: Options = Options()) -> tuple[DataFrame, DataFrame]:
-    """(rk, n_shingles, set_id) of each row and (node, component) of the sets that link to others.
+def set_components(rows: DataFrame, o: Options = Options()) -> tuple[DataFrame, DataFrame]:
+    """(__row, n_shingles, set_id) of each of rows (__row, text) and (node, component) of the sets that link to others.
 
-    Equal texts are one set. First each set of an index entry is compared with the entry's smallest. Entries that still
-    hold several components are then compared in full, across components only: as pairs if they hold `small` sets at
-    most, else in blocks of sketches inside a task. So copies of one text cost no more than their number, and no link
-    between components is missed.
+    Equal sets are one, told apart by two hashes. First each set of an index entry is compared with the entry's smallest.
+    Entries that still hold several components are then compared in full, across components only: as pairs if they hold
+    `small` sets at most, else in blocks of sketches inside a task. So copies of one text cost no more than their number,
+    and no link between components is missed. Pairs are verified on the words of their texts.
     """
-    keyed = docs.select(row_key().alias("rk"), "text")
-    edges = bands(o)
+    keyed, edges = rows.select("__row", "text"), bands(o)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            token, ptr = shingle_sets(batch.column(1), o.n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ptr)), pa.array(_set_ids(token, ptr))], names=["rk", "n_shingles", "set_id"])
-
-    members = stage(keyed.mapInArrow(describe, "rk long, n_shingles long, set_id long"), "members")
+            token, ptr, second = shingle_sets(batch.column(1), o.n)
+            a, b = _set_hashes(token, ptr, second)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ptr)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["__row", "n_shingles", "h1", "h2"])
+
+    members = stage(keyed.mapInArrow(describe, "__row long, n_shingles long, h1 long, h2 long"), "members")
+    # first hashes of different sets: of n sets about n * n / 2**65, so none below billions and a few thousand at a trillion
+    clash = members.groupBy("h1").agg(F.min("h2").alias("lo"), F.max("h2").alias("hi")).where("lo != hi").select("h1")
+    shared = np.array(sorted(r["h1"] for r in clash.collect()), np.int64).view(np.uint64)
+    if len(shared):
+        ids = pa.table({"h1": pa.array(shared.view(np.int64))})
+        listed = F.broadcast(rows.sparkSession.createDataFrame(ids.to_pandas()).withColumn("both", F.lit(True)))
+
+        def rehash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                a, b = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for i in (2, 3))
+                one = np.where(batch.column(4).is_valid().to_numpy(zero_copy_only=False), mix(a ^ mix(b)), a)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(one.view(np.int64))], names=["__row", "n_shingles", "set_id"])
+
+        members = members.join(listed, "h1", "left").select("__row", "n_shingles", "h1", "h2", "both").mapInArrow(rehash, "__row long, n_shingles long, set_id long")
+    else:
+        members = members.select("__row", "n_shingles", F.col("h1").alias("set_id"))
     # a row a band; log keeps the band's number near, the exact one is found from a size in it
     sizes = members.where("n_shingles > 0").groupBy(F.floor(F.log2("n_shingles") * 16).alias("x")).agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"), F.count("*").alias("n")).collect()
     counts: dict[int, int] = {}
@@ -286,11 +338,13 @@ def set_components(docs: DataFrame, o: Options = Options()) -> tuple[DataFrame,
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in text_slices(batches):
-            token, ptr = shingle_sets(batch.column(1), o.n)
-            ids = _set_ids(token, ptr)
+            token, ptr, second = shingle_sets(batch.column(1), o.n)
+            ids = _set_ids(token, ptr, second, shared)
             sig, of = _signatures(token, ptr, plan, edges, o)
             fresh = np.zeros(len(ids), bool)
-            for i, x in enumerate(ids.tolist()):  # a partition indexes equal texts once
+            if len(seen) > 100_000:  # bounds memory; entries may repeat
+                seen.clear()
+            for i, x in enumerate(ids.tolist()):
                 if x not in seen:
                     seen.add(x)
                     fresh[i] = True
@@ -299,51 +353,59 @@ def set_components(docs: DataFrame, o: Options = Options()) -> tuple[DataFrame,
 
     entries = keyed.mapInArrow(index, "sig long, set_id long")
     by_sig = Window.partitionBy("sig")
-    shared = entries.withColumn("leader", F.min("set_id").over(by_sig)).withColumn("last", F.max("set_id").over(by_sig)).where("leader != last")
-    shared = stage(shared.select("sig", "set_id", "leader").distinct(), "entries")
+    entries = entries.withColumn("leader", F.min("set_id").over(by_sig)).withColumn("last", F.max("set_id").over(by_sig)).where("leader != last")
+    entries = stage(entries.select("sig", "set_id", "leader").distinct(), "entries")
 
-    candidates = shared.select("set_id").distinct()
-    first = members.groupBy("set_id").agg(F.min("rk").alias("rk"))
+    candidates = entries.select("set_id").distinct()
+    first = members.where("n_shingles > 0").groupBy("set_id").agg(F.min("__row").alias("__row"))
     wanted = first.join(candidates, "set_id", "left_semi")
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def describe_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            token, ptr = shingle_sets(batch.column(0), o.n)
-            ids = _set_ids(token, ptr)
-            use = np.flatnonzero(ids == batch.column(1).to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(ids[use]), pa.array(np.diff(ptr)[use]), pa.array([token[ptr[i] : ptr[i + 1]].tobytes() for i in use], pa.binary()), pa.array([_sketch(token[ptr[i] : ptr[i + 1]]) for i in use], pa.binary())], names=["set_id", "n", "tokens", "sketch"])
+            token, ptr, _ = shingle_sets(batch.column(0), o.n)
+            sketches = [_sketch(token[a:b]) for a, b in zip(ptr[:-1].tolist(), ptr[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.diff(ptr)), batch.column(0), pa.array(sketches, pa.binary())], names=["set_id", "n", "text", "sketch"])
 
-    sets = keyed.join(wanted, "rk").select("text", "set_id").mapInArrow(tokens, "set_id long, n long, tokens binary, sketch binary")
-    # rows that repeat have one key
-    sets = stage(sets.groupBy("set_id").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")), "sets")
+    sets = stage(keyed.join(wanted, "__row").select("text", "set_id").mapInArrow(describe_sets, "set_id long, n long, text string, sketch binary"), "sets")
 
-    links = _links(shared.where("set_id != leader").select(F.col("set_id").alias("a"), F.col("leader").alias("b")).distinct(), sets, o)
+    links = _links(entries.where("set_id != leader").select(F.col("set_id").alias("a"), F.col("leader").alias("b")).distinct(), sets, o)
     labels = components(links)
 
-    final = shared.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("sig", "set_id", F.coalesce("component", "set_id").alias("component"))
+    final = entries.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("sig", "set_id", F.coalesce("component", "set_id").alias("component"))
     # entries with the same sets are one
-    groups = final.groupBy("sig").agg(F.count("*").alias("n"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("h"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-    groups = groups.groupBy("n", "h").agg(F.min("sig").alias("sig"))
-    groups = groups.withColumnRenamed("n", "held")
-    open_sets = stage(final.join(groups.select("sig", "held"), "sig"), "open")
+    groups = final.groupBy("sig").agg(F.count("*").alias("n"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("h"), F.sum(F.xxhash64("set_id", F.lit(1)).cast("decimal(38,0)")).alias("h2"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+    groups = groups.groupBy(F.col("n").alias("held"), "h", "h2").agg(F.min("sig").alias("sig"))
+    open_sets = stage(split_join(final, groups.select("sig", "held"), "sig"), "open")
     few = open_sets.where(F.col("held") <= o.small).drop("held")
     pairs = few.alias("l").join(few.alias("r"), F.expr("l.sig = r.sig and l.component < r.component"))
     pairs = pairs.select(F.least("l.set_id", "r.set_id").alias("a"), F.greatest("l.set_id", "r.set_id").alias("b"))
     many = open_sets.where(F.col("held") > o.small).join(sets.select("set_id", "n"), "set_id")
-    order = Window.partitionBy("sig").orderBy("component", "set_id").rowsBetween(Window.unboundedPreceding, -1)
-    chunked = stage(many.select("sig", "set_id", "component", F.floor(F.coalesce(F.sum("n").over(order), F.lit(0)) / o.block).alias("chunk")), "chunks")
+    # ranges deal a hot entry over tasks, components in order; a chunk is a stretch of an entry in one range
+    ranged = many.repartitionByRange("sig", "component", "set_id").withColumn("range", F.spark_partition_id().cast("long"))
+    ranged = stage(ranged.select("sig", "set_id", "component", "n", "range"), "ranges")
+    order = Window.partitionBy("sig", "range").orderBy("component", "set_id").rowsBetween(Window.unboundedPreceding, -1)
+    chunk = F.shiftleft("range", 32) + F.floor(F.coalesce(F.sum("n").over(order), F.lit(0)) / o.block)
+    chunked = stage(ranged.select("sig", "set_id", "component", chunk.alias("chunk")), "chunks")
     chunks = chunked.groupBy("sig", "chunk").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     blocks = chunks.alias("l").join(chunks.alias("r"), F.expr("l.sig = r.sig and l.chunk <= r.chunk and not (l.lo = l.hi and r.lo = r.hi and l.lo = r.lo)"))
     blocks = blocks.select(F.col("l.sig").alias("sig"), F.col("l.chunk").alias("i"), F.col("r.chunk").alias("j"))
     blocks = blocks.select("sig", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("chunk"))
-    rows = blocks.join(chunked, ["sig", "chunk"]).join(sets.select("set_id", "n", "sketch"), "set_id").select("sig", "i", "j", "set_id", "component", "n", "sketch")
-    blocked = rows.groupBy("sig", "i", "j").applyInPandas(lambda pdf: _block_pairs(pdf, o), "a long, b long")
+    shipped = blocks.join(chunked, ["sig", "chunk"]).join(sets.select("set_id", "n", "sketch"), "set_id").select("sig", "i", "j", "set_id", "component", "n", "sketch")
+    blocked = shipped.groupBy("sig", "i", "j").applyInPandas(lambda pdf: _block_pairs(pdf, o), "a long, b long")
     more = _links(pairs.unionByName(blocked).distinct(), sets, o)
     if more.isEmpty():
         return members, labels
     return members, components(links.unionByName(more))
 
 
+def _classes(rows: DataFrame, o: Options) -> DataFrame:
+    """__row, n_shingles and __class of each of rows: a class's name, or for rows without words the row's own."""
+    members, labels = set_components(rows, o)
+    named = members.where("n_shingles > 0").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
+    named = named.select("__row", "n_shingles", F.coalesce("component", "set_id").alias("__class"))
+    return named.unionByName(members.where("n_shingles = 0").select("__row", "n_shingles", F.lit(None).cast("long").alias("__class")))
+
+
 def jaccard_components(docs: DataFrame, o: Options = Options()) -> DataFrame:
     """docs with n_shingles and component_id, the smallest doc_id that links lead to, itself included.
 
@@ -352,33 +414,26 @@ def jaccard_components(docs: DataFrame, o: Options = Options()) -> DataFrame:
     replaced; an empty table gives an empty one.
     """
     docs = docs.drop("n_shingles", "component_id")
-    members, labels = set_components(docs, o)
-    named = members.select(F.col("rk").alias("__rk"), "n_shingles", "set_id").distinct()
-    labelled = named.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("__rk", "n_shingles", F.coalesce("component", "set_id").alias("__class"))
-    keyed = docs.withColumn("__rk", row_key())
-    ids = keyed.select("__rk", "doc_id").join(labelled, "__rk")
-    smallest = ids.where("n_shingles > 0").groupBy("__class").agg(F.min("doc_id").alias("__smallest"))
-    known = split_join(labelled, smallest, "__class", "left").select("__rk", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("__smallest")).alias("__smallest"))
-    joined = keyed.join(known, "__rk").withColumn("component_id", F.coalesce("__smallest", "doc_id"))
-    return joined.drop("__rk", "__smallest")
+    rows = numbered(docs, "documents")
+    labelled = rows.select("__row", "doc_id").join(_classes(rows, o), "__row")
+    labelled = stage(labelled, "classes")
+    smallest = labelled.where("__class is not null").groupBy("__class").agg(F.min("doc_id").alias("__smallest"))
+    known = split_join(labelled.drop("doc_id"), smallest, "__class", how="left").select("__row", "n_shingles", "__smallest")
+    return rows.join(known, "__row").withColumn("component_id", F.coalesce("__smallest", "doc_id")).select(*docs.columns, "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame, o: Options = Options()) -> DataFrame:
-    """One row of each class: of the smallest doc_id, null ones last, then the smallest hashes of text and other columns.
+    """One row of each class: of the smallest doc_id, null ones last, then the first of the table as it was read.
 
-    Rows that repeat are one class, so one of them stays; rows without words link with nothing else.
+    Rows that repeat are one class, so one of them stays; rows without words link with nothing else. Columns pass.
     """
-    members, labels = set_components(docs, o)
-    named = members.select(F.col("rk").alias("__rk"), "n_shingles", "set_id").distinct()
-    classes = named.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("__rk", F.coalesce("component", "set_id").alias("class"), F.when(F.col("n_shingles") == 0, F.col("__rk")).alias("alone"))
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    keyed = docs.withColumn("__rk", row_key()).withColumn("__other", F.xxhash64(*others) if others else F.lit(0).cast("long"))
-    ids = keyed.groupBy("doc_id", "__rk", "__other").agg(F.count("*").alias("n"))
-    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__rk", "__other", "n"))
-    chosen = stage(ids.join(classes, "__rk").groupBy("class", "alone").agg(least.alias("x")).select("x.__rk", "x.__other", "x.n"), "chosen")
-    key = ["__rk", "__other"]
-    single, several = (keyed.join(chosen.where(x).drop("n"), key) for x in ("n = 1", "n > 1"))
-    return single.unionByName(several.dropDuplicates(key)).select(*docs.columns)
+    rows = numbered(docs, "documents")
+    keyed = rows.select("__row", "doc_id", F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2"))
+    labelled = keyed.join(_classes(rows, o), "__row")
+    # rows without words are told apart by doc_id and text
+    alone = [F.when(F.col("__class").isNull(), F.col(c)).alias(f"__{c}") for c in ("doc_id", "t1", "t2")]
+    chosen = labelled.groupBy("__class", *alone).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"].alias("__row"))
+    return rows.join(chosen.select("__row"), "__row", "left_semi").select(*docs.columns)
 
 
 ORACLE = r"""

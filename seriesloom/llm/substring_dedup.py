@@ -1,10 +1,18 @@
 """Substring dedup by relative Lempel-Ziv parsing against indexed reference blocks.
 
-The reference is the whole corpus, cut into blocks by content: of the k-grams in each window of `window` words the one
-of smallest hash is its anchor, and a block holds all places with the same anchor. Equal windows have equal anchors, so
-a document is parsed against each block that can hold a match, and against no other. A run of consecutive windows with
-one anchor is a segment. A block with one distinct segment at several places extends their factors greedily over the
-whole segment; where a block holds different segments factors end, and there each window is checked on its own.
+The reference is the whole corpus. Its index cuts it into blocks by content: of the k-grams in each window of `window`
+words the one of smallest hash is the window's anchor, and a block holds all places with one anchor. Equal windows have
+equal anchors, so a document needs to be matched with no block but those of its own anchors. A run of windows with one
+anchor is a segment.
+
+Each document is then parsed greedily from left to right: a factor goes on as long as every window of it lies in the
+reference elsewhere. Where all segments of a block are equal it takes the whole segment at a step. Where they differ, a
+factor may end inside the segment, and there each window is looked up on its own, which gives the exact boundary.
+Factors of `window` words or more are the duplicate spans; shorter ones cannot arise. What a classical parse would
+copy from one place may come from several, as only the length of factors decides here, not their source.
+
+Words are compared by two independent 64-bit hashes: windows by both, segments of a block by one, since the other half is
+the anchor. For n windows a wrong match has a chance of about n * n / 2**129.
 """
 
 from __future__ import annotations
@@ -13,24 +21,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_join, text_slices
+from .common import numbered, split_join, text_slices
 from .words import Spans, Words, gram_starts, mix, words
 
 _PLACE = np.uint64((1 << 30) - 1)
+#: A segment is one number: first window << _SHIFT | number of windows.
+_SHIFT = 20
 
 
 def segments(w: Words, window: int, k: int) -> tuple[np.ndarray, ...]:
-    """Of each segment: first window, number of windows, text, anchor hash, content hash; and the span hashes."""
+    """Of each segment: first window, number of windows, text, anchor hash and content hash."""
     spans, n = Spans(w.hash), len(w.hash)
     grams = np.full(n, np.uint64(2**64 - 1))
     at, _ = gram_starts(w.ptr, k)
     grams[at] = spans.of(at, k)
     first, text = gram_starts(w.ptr, window)
     if not len(first):
-        return first, first, text, np.zeros(0, np.uint64), np.zeros(0, np.uint64), spans
+        return first, first, text, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     # the smallest gram of each window, the leftmost of equal ones: hash above, place below
     low = (grams & ~_PLACE) | np.arange(n, dtype=np.uint64)
     width, size = window - k + 1, 1
@@ -42,93 +52,105 @@ def segments(w: Words, window: int, k: int) -> tuple[np.ndarray, ...]:
     start = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
     count = np.diff(np.concatenate((start, [len(first)])))
     begin, anchor = first[start], anchor[start]
-    content = mix(spans.of(begin, window - 1 + count) + (anchor - begin).astype(np.uint64) * np.uint64(0x9E3779B1) + (count.astype(np.uint64) << np.uint64(40)))
-    return begin, count, text[start], grams[anchor], content, spans
+    # of the second lane, so that it is independent of the anchor
+    content = mix(Spans(w.second, 1).of(begin, window - 1 + count) + (anchor - begin).astype(np.uint64) * np.uint64(0x9E3779B1) + (count.astype(np.uint64) << np.uint64(40)))
+    return begin, count, text[start], grams[anchor], content
 
 
-def _keys(docs: DataFrame) -> DataFrame:
-    """A document is known by its id and a hash of its text; equal rows share both and are treated alike."""
-    return docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("k1"), F.hash("text").alias("k2"), "text")
+def parse(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First windows and numbers of windows of the greedy factors, from runs of matched windows in any order.
+
+    A factor begins at the leftmost matched window that no factor covers and goes on as long as the next is matched.
+    """
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], start[order] + count[order]
+    if not len(start):
+        return start, end
+    reach = np.maximum.accumulate(end)
+    new = np.concatenate(([True], start[1:] > reach[:-1]))
+    return start[new], reach[np.concatenate((np.flatnonzero(new)[1:], [len(start)])) - 1] - start[new]
+
+
+def _factors(w: Words, lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Factors of all texts of a slice, starts counted in the slice, from each text's packed runs."""
+    n = np.array([len(x) for x in lists], np.int64)
+    at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    # texts keep apart, as a window lies in one text: the last windows of a text have no starts
+    return parse((at >> _SHIFT) + w.ptr[np.repeat(np.arange(len(n)), n)], at & ((1 << _SHIFT) - 1))
 
 
-def duplicate_spans(docs: DataFrame, window: int = 35, k: int = 12) -> DataFrame:
-    """(k1, k2, start, count): all runs of count windows, from word start on, that occur again somewhere.
+def matched_runs(rows: DataFrame, window: int = 35, k: int = 12) -> DataFrame:
+    """(__row, runs): for rows (__row, text) with any, all runs of windows that occur again somewhere, packed.
 
-    Shuffled are one row for each segment (about one in 11 words), the text once by document, and one row for each
-    window where factors end. Counts are partial before each shuffle and hot keys are joined, so one passage in every
-    document splits well.
+    Shuffled are one row for each segment (about one in 12 words), the text once by row, and one row for each window of
+    blocks that hold different segments. Counts are partial before each shuffle and hot keys are joined, so one passage
+    in every document splits well; a row's runs are at most its windows, however often they occur elsewhere.
     """
-    keyed = _keys(docs)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            w = words(batch.column(2))
-            begin, count, text, anchor, content, _ = segments(w, window, k)
-            of = pa.array(text)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), batch.column(0).take(of), batch.column(1).take(of), pa.array((begin - w.ptr[text]).astype(np.int32)), pa.array(count.astype(np.int32))], names=["anchor", "content", "k1", "k2", "start", "count"])
+            w = words(batch.column(1))
+            begin, count, text, anchor, content = segments(w, window, k)
+            at = ((begin - w.ptr[text]) << _SHIFT) | count
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), batch.column(0).take(pa.array(text)), pa.array(at)], names=["anchor", "content", "__row", "at"])
 
-    places = keyed.mapInArrow(anchors, "anchor long, content long, k1 long, k2 int, start int, count int")
+    places = rows.select("__row", "text").mapInArrow(anchors, "anchor long, content long, __row long, at long")
     blocks = places.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high")).where("n > 1")
-    blocks = blocks.select("anchor", (F.col("low") != F.col("high")).alias("mixed"))
-    matched = split_join(places, blocks, "anchor")
-    inner = matched.where("not mixed").select("k1", "k2", "start", "count")
-    ends = matched.where("mixed").groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "count")).alias("at"))
+    matched = split_join(places, blocks.select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "anchor")
+    whole = matched.where("not mixed").select("__row", "at")
+    ends = matched.where("mixed").groupBy("__row").agg(F.collect_list("at").alias("ends"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            w = words(batch.column(2))
-            spans, lists = Spans(w.hash), batch.column(3)
-            n = np.array([len(x) for x in lists])
-            at = lists.flatten()
-            start, count = (at.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("start", "count"))
-            text = np.repeat(np.arange(len(n)), n)
-            # repeated rows list a segment several times
-            order = np.unique(np.stack((text, start, count)), axis=1)
-            text, start, count = order
+            w, lists = words(batch.column(1)), batch.column(2)
+            n = np.array([len(x) for x in lists], np.int64)
+            at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            text, start, count = np.repeat(np.arange(len(n)), n), at >> _SHIFT, at & ((1 << _SHIFT) - 1)
             first = np.repeat(start, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
             text = np.repeat(text, count)
-            yield pa.RecordBatch.from_arrays([pa.array(spans.of(first + w.ptr[text], window).view(np.int64)), batch.column(0).take(pa.array(text)), batch.column(1).take(pa.array(text)), pa.array(first.astype(np.int32))], names=["content", "k1", "k2", "start"])
+            here = first + w.ptr[text]
+            yield pa.RecordBatch.from_arrays([pa.array(Spans(w.hash).of(here, window).view(np.int64)), pa.array(Spans(w.second, 1).of(here, window).view(np.int64)), batch.column(0).take(pa.array(text)), pa.array((first << _SHIFT) | 1)], names=["h1", "h2", "__row", "at"])
 
-    single = keyed.join(ends, ["k1", "k2"]).select("k1", "k2", "text", "at").mapInArrow(windows, "content long, k1 long, k2 int, start int")
-    again = single.groupBy("content").agg(F.count("*").alias("n")).where("n > 1").select("content")
-    found = split_join(single, again, "content").select("k1", "k2", "start", F.lit(1).alias("count"))
-    return inner.unionByName(found)
+    single = rows.select("__row", "text").join(ends, "__row").select("__row", "text", "ends").mapInArrow(windows, "h1 long, h2 long, __row long, at long")
+    again = single.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    found = split_join(single, again, "h1", "h2").select("__row", "at")
+    return whole.unionByName(found).groupBy("__row").agg(F.collect_list("at").alias("runs"))
 
 
 def factors(docs: DataFrame, window: int = 35, k: int = 12) -> DataFrame:
-    """doc_id, start, length in words: the longest factors of each document all of whose windows occur again.
+    """doc_id, start and length in words of each factor of each row that is long enough to be a duplicate span.
 
-    Adjacent runs of windows make one factor; factors may overlap by less than a window. Rows that repeat give their
-    factors once.
+    Factors of one document may overlap by less than a window. Repeated rows have factors each.
     """
-    order = Window.partitionBy("k1", "k2").orderBy("start", "count")
-    reach = F.max(F.col("start") + F.col("count")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = duplicate_spans(docs, window, k).distinct().withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
-    runs = marked.withColumn("run", F.sum("new").over(order)).groupBy("k1", "k2", "run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("count")).alias("end"))
-    return runs.select(F.nullif(F.col("k1"), F.lit(-(2**63))).alias("doc_id"), "start", (F.col("end") - F.col("start") + window - 1).alias("length"))
+    rows = numbered(docs.select("doc_id", "text"), "substrings")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            w = words(batch.column(1))
+            start, count = _factors(w, batch.column(2))
+            text = np.searchsorted(w.ptr, start, "right") - 1
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(start - w.ptr[text]), pa.array(count + window - 1)], names=["doc_id", "start", "length"])
+
+    return rows.join(matched_runs(rows, window, k), "__row").select("doc_id", "text", "runs").mapInArrow(run, "doc_id long, start long, length long")
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, k: int = 12) -> DataFrame:
     """docs with n_words, n_removed and kept: the words left, joined by one space.
 
-    A word goes if a window of `window` words of its document covers it whose sequence starts anywhere else, in the same
-    document too; windows are judged on the input. Null text has no words; shorter texts keep all; repeated rows repeat
-    each other, so they lose all windows; other columns pass, but those named as a new one are replaced; an empty table
-    gives an empty one.
+    A word goes if a factor covers it, so if a window of `window` words of its document covers it whose sequence starts
+    anywhere else, in the same document too; windows are judged on the input. Null text has no words; shorter texts
+    keep all; repeated rows repeat each other, so they lose all windows; other columns pass, but those named as a new
+    one are replaced; an empty table gives an empty one.
     """
     docs = docs.drop("n_words", "n_removed", "kept")
-    spans = duplicate_spans(docs, window, k).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "count")).alias("__spans"))
     rest = [c for c in docs.columns if c != "text"]
-    base = _keys(docs) if rest in ([], ["doc_id"]) else docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("k1"), F.hash("text").alias("k2"), "text", F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]).alias("__rest"))
-    own = [] if "__rest" not in base.columns else ["__rest"]
+    others = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]) if rest else F.lit(None).cast("int")
+    rows = numbered(docs.select("text", others.alias("__rest")), "substrings")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            w, lists = words(batch.column(0)), batch.column(1).fill_null([])
-            n = np.array([len(x) for x in lists])
-            at = lists.flatten()
-            start, count = (at.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("start", "count"))
-            start = start + w.ptr[np.repeat(np.arange(len(n)), n)]
+            w = words(batch.column(0))
+            start, count = _factors(w, batch.column(1).fill_null([]))
             edge = np.zeros(len(w.hash) + 1, np.int64)
             np.add.at(edge, start, 1)
             np.add.at(edge, start + count + window - 1, -1)
@@ -145,18 +167,15 @@ def remove_repeats(docs: DataFrame, window: int = 35, k: int = 12) -> DataFrame:
             mask = np.ones(len(out), bool)
             mask[last] = False
             offsets = ends - np.concatenate(([0], np.cumsum(n_kept > 0)))
-            kept = pa.StringArray.from_buffers(len(n), pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(out[mask].tobytes()))
+            kept = pa.StringArray.from_buffers(batch.num_rows, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(out[mask].tobytes()))
             n_words = np.diff(w.ptr)
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], batch.column(0), pa.array(n_words), pa.array(n_words - n_kept), kept], names=[*batch.schema.names[2:], "text", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array(n_words), pa.array(n_words - n_kept), kept], names=["__rest", "text", "n_words", "n_removed", "kept"])
 
-    joined = base.join(spans, ["k1", "k2"], "left").select("text", "__spans", *(own or ["k1"]))
-    kind = joined.select(*joined.columns[2:]).schema.simpleString()[7:-1]
+    joined = rows.join(matched_runs(rows, window, k), "__row", "left").select("text", "runs", "__rest")
+    kind = joined.select("__rest").schema.simpleString()[7:-1]
     done = joined.mapInArrow(cut, f"{kind},text:string,n_words:bigint,n_removed:bigint,kept:string")
-    if own:
-        columns = {c: F.col(f"__rest.c{i}").alias(c) for i, c in enumerate(rest)}
-    else:
-        columns = {"doc_id": F.nullif(F.col("k1"), F.lit(-(2**63))).alias("doc_id")}
-    return done.select(*[columns.get(c, F.col(c)) for c in docs.columns if c in columns or c == "text"], "n_words", "n_removed", "kept")
+    columns = {c: F.col(f"__rest.c{i}").alias(c) for i, c in enumerate(rest)}
+    return done.select(*[columns.get(c, F.col(c)) for c in docs.columns], "n_words", "n_removed", "kept")
 
 
 ORACLE = """

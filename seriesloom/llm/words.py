@@ -6,17 +6,21 @@ A word is a longest run of bytes other than space and 09-0D, so byte-wise work e
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
-_RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = _BYTE.copy()
-_LOWER[65:91] = _BYTE[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _SEP = np.zeros(256, bool)
 _SEP[[32, 9, 10, 11, 12, 13]] = True
-_BASE, _GRAM = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Odd factors of the two lanes: of word hashes and of runs of words.
+_WORD = (0x9E3779B97F4A7C15, 0xA0761D6478BD642F)
+_GRAM = (0xD1342543DE82EF95, 0xE7037ED1A0B428DB)
+#: Words of more bytes are hashed one by one.
+_LONG = 512
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -45,13 +49,15 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """ptr: of n texts, text i has the words ptr[i]:ptr[i+1]; start and end: bytes in data."""
+    """ptr: of n texts, text i has the words ptr[i]:ptr[i+1]; start and end: bytes in data; hash and second: two
+    independent 64-bit hashes of each word."""
 
     data: np.ndarray
     ptr: np.ndarray
     start: np.ndarray
     end: np.ndarray
     hash: np.ndarray
+    second: np.ndarray
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +76,7 @@ def words(column: pa.Array, lower: bool = False) -> Words:
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
-        return Words(data, np.zeros(len(offsets), np.int64), none, none, np.zeros(0, np.uint64))
+        return Words(data, np.zeros(len(offsets), np.int64), none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64))
     word = ~_SEP[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
@@ -81,18 +87,35 @@ def words(column: pa.Array, lower: bool = False) -> Words:
     edges = offsets[offsets > 0] - 1
     last[edges] = word[edges]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = powers(_BASE, n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER if lower else _BYTE)[data] * up[:n], out=total[1:])
-    h = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-    return Words(data, np.searchsorted(start, offsets), start, end, h)
+    h, second = _word_hashes(_LOWER[data] if lower else data, start, end - start)
+    return Words(data, np.searchsorted(start, offsets), start, end, h, second)
+
+
+def _word_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Eight bytes at a time go through a bijective mixing step, so no structure of a word (as with sums of powers)
+    makes two words agree; each lane has its own factor."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    first, length = eight[start] & _MASK[np.minimum(size, 8)], size.astype(np.uint64)
+    lanes = [mix(first + length * np.uint64(f)) for f in _WORD]
+    at, rest = 8, np.flatnonzero((size > 8) & (size <= _LONG))
+    while len(rest):
+        more = eight[start[rest] + at] & _MASK[np.minimum(size[rest] - at, 8)]
+        for lane, f in zip(lanes, _WORD, strict=True):
+            lane[rest] = mix(lane[rest] * np.uint64(f) ^ more)
+        at += 8
+        rest = rest[size[rest] > at]
+    for i in np.flatnonzero(size > _LONG).tolist():
+        digest = blake2b(data[start[i] : start[i] + size[i]].tobytes(), digest_size=16).digest()
+        lanes[0][i], lanes[1][i] = np.frombuffer(digest, np.uint64)
+    return lanes[0], lanes[1]
 
 
 class Spans:
-    """Hashes of any run of consecutive words in constant time each."""
+    """Hashes of any run of consecutive words in constant time each, from the words' hashes of one lane."""
 
-    def __init__(self, h: np.ndarray):
-        up, self.down = powers(_GRAM, len(h))
+    def __init__(self, h: np.ndarray, lane: int = 0):
+        up, self.down = powers(_GRAM[lane], len(h))
         self.total = np.zeros(len(h) + 1, np.uint64)
         np.cumsum(h * up[: len(h)], out=self.total[1:])
 

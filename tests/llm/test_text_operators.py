@@ -5,6 +5,8 @@ import math
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,6 +88,45 @@ def test_substring_brute_force(spark, window, k, seed):
     assert sorted(map(tuple, got), key=str) == removed_by_hand(rows, window)
 
 
+def thue_morse(n=4096):
+    """Two words, or sequences of words, whose sums of powers agree modulo 2**64 for any base."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return bits, [1 - b for b in bits]
+
+
+def test_no_structure_of_words_fools_the_hashes(spark):
+    a, b = ("".join("ab"[x] for x in bits) for bits in thue_morse())
+    same = " ".join(f"w{i}" for i in range(34))
+    df = spark.createDataFrame([(1, f"{same} {a}"), (2, f"{same} {b}")], "doc_id long, text string")
+    assert [r["n_removed"] for r in substring_dedup.remove_repeats(df).collect()] == [0, 0]
+    df = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
+    got = jaccard_join.jaccard_components(df).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+
+
+def test_links_are_verified_on_words():
+    """Whatever hashes proposed: only the words of both texts decide."""
+    names, texts = ["a", "b", "x", "y"], [["a b c d", "A b c", None, "e f"], ["a b c e", "a b C", "", "E F"]]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array([6, 7, 8, 9]), *map(pa.array, texts)], names=names)
+    assert [b.to_pydict() for b in jaccard_join._verified(iter([batch]), jaccard_join.Options())] == [{"a": [2, 4], "b": [7, 9]}]
+
+
+def test_repeated_rows_cost_their_number(spark):
+    """No pairs of copies are made: the rows of every stage grow in proportion."""
+    text = " ".join(f"w{i}" for i in range(120))
+    for n in (200, 400):
+        df = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+        runs = substring_dedup.matched_runs(df.withColumn("__row", F.col("doc_id")))
+        assert runs.agg(F.sum(F.size("runs"))).first()[0] <= n * (120 - 34)
+        assert substring_dedup.remove_repeats(df).where("n_removed = 120").count() == n
+
+
+def test_parse():
+    start, count = substring_dedup.parse(np.array([7, 0, 3, 20, 2]), np.array([2, 3, 1, 1, 5]))
+    assert start.tolist() == [0, 20] and count.tolist() == [9, 1]
+    assert [x.tolist() for x in substring_dedup.parse(np.zeros(0, np.int64), np.zeros(0, np.int64))] == [[], []]
+
+
 def test_factors(spark):
     shared = [f"s{i}" for i in range(30)]
     rows = [(1, " ".join(["a1", *shared, "a2"])), (2, " ".join(["b1", "b2", *shared[:20], "edit", *shared[21:]])), (3, "nothing here " * 2)]
@@ -165,9 +206,50 @@ def test_jaccard_edges(spark, edge, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
-def test_sketches_bound_differences():
-    import numpy as np
+@pytest.mark.parametrize("size", [9, 10, 12, 20])
+def test_unrelated_sets_share_no_entry(size):
+    """Random sets: no signature of an empty segment or of what a single token leaves."""
+    rng, o = np.random.default_rng(size), jaccard_join.Options()
+    n = 20_000
+    token = np.sort(rng.integers(0, 2**64, (n, size), dtype=np.uint64), axis=1).reshape(-1)
+    edges = jaccard_join.bands(o)
+    band = int(np.searchsorted(edges, size, "right")) - 1
+    for match in (0.0, 0.3, 0.999):
+        x = jaccard_join.Options(match=match)
+        plan = jaccard_join.allocation({band: n, band + 1: n}, x)
+        sig, of = jaccard_join._signatures(token, np.arange(n + 1) * size, plan, edges, x)
+        if len(sig):
+            assert np.unique(np.unique(np.stack((sig, of.astype(np.uint64))), axis=1)[0], return_counts=True)[1].max() <= 3
+
+
+@pytest.mark.parametrize("at", [60, 80, 90])
+@pytest.mark.parametrize("layout", [(1, 1, False), (3, 2, False), (4, 2, False), (1, 1, True)])
+def test_every_linked_pair_shares_a_signature(at, layout):
+    """All layouts, sets with very uneven segments too: without Spark, over many random pairs at the threshold."""
+    rng, o = np.random.default_rng(at), jaccard_join.Options(at=at)
+    edges = jaccard_join.bands(o)
+    for size in [*range(2, 40), 60, 100, 333]:
+        for _ in range(12):
+            pool = rng.integers(0, 2**64, 2 * size, dtype=np.uint64)
+            gone = int(rng.integers(0, size * (100 - at) // 100 + 1))
+            more = int(rng.integers(0, max(0, (size - gone) * 100 // at - size) + 1))
+            sets = [np.unique(pool[:size]), np.unique(np.concatenate((pool[gone:size], pool[size : size + more])))]
+            both = len(np.intersect1d(*sets))
+            if not both or 100 * both < at * (len(sets[0]) + len(sets[1]) - both):
+                continue
+            top = int(np.searchsorted(edges, max(map(len, sets)), "right")) - 1
+            plan = {}
+            for band in range(max(0, top - 1), top + 2):
+                most = int(edges[band + 1]) - 1
+                h = int(jaccard_join._most_apart(most, most, o))
+                if h:
+                    plan[band] = jaccard_join._layout(h, most, *layout)
+            sig, of = jaccard_join._signatures(np.concatenate(sets), np.array([0, len(sets[0]), len(sets[0]) + len(sets[1])]), plan, edges, o)
+            if len(np.setxor1d(*sets)):
+                assert set(sig[of == 0]) & set(sig[of == 1]), (size, gone, more)
+
 
+def test_sketches_bound_differences():
     rng = np.random.default_rng(1)
     for _ in range(50):
         a = np.unique(rng.integers(0, 2**63, rng.integers(1, 300), dtype=np.uint64))
