@@ -39,17 +39,18 @@ from .words import Spans, gram_starts, mix, words
 class Options:
     """Two sets link when `of` * intersection >= `at` * union. n: words in a shingle. growth: of size bands.
 
-    match: chance that two segments of one token agree, for the cost of an index; block: tokens of sets whose sketches
-    one task compares with as many others; small: see set_components.
+    match: chance that two segments of one token agree, for the cost of an index; block: tokens of sets that one task
+    compares with as many others; small and rounds: see set_components.
     """
 
     n: int = 3
     at: int = 90
     of: int = 100
-    growth: float = 1.6
-    match: float = 0.3
+    growth: float = 2.0
+    match: float = 0.01
     block: int = 1_000_000
     small: int = 8
+    rounds: int = 2
 
 
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -276,30 +277,55 @@ def _links(pairs: DataFrame, sets: DataFrame, o: Options) -> DataFrame:
     return stage(_with_sets(pairs, sets, "text").mapInArrow(lambda it: _verified(it, o), "a long, b long"), "links")
 
 
-def _block_pairs(pdf: pd.DataFrame, o: Options) -> pd.DataFrame:
-    """Pairs of sets of different components in one block whose sketches leave a link possible."""
+def exact_ids(texts: list[str], n: int) -> list[np.ndarray]:
+    """Each text's set as sorted numbers, equal for equal shingles of these texts: words are numbered, then pairs of
+    numbers, so no hash decides."""
+    number: dict[bytes, int] = {}
+    words_of = [(x or "").encode("utf-8", "surrogatepass").lower().split() for x in texts]
+    ids = [np.array([number.setdefault(w, len(number)) for w in ws], np.int64) for ws in words_of]
+    word = np.concatenate([*ids, np.zeros(0, np.int64)])
+    ptr = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int64)
+    gram, most = word, len(number) + 1
+    for i in range(1, n):  # gram[j] numbers the i + 1 words from j on
+        if len(gram) > 1:
+            gram = np.unique(gram[:-1] * most + word[i:], return_inverse=True)[1].reshape(-1)
+    short: dict[tuple[bytes, ...], int] = {}
+    return [np.unique(gram[a : b - n + 1]) if b - a >= n else np.array([-1 - short.setdefault(tuple(ws), len(short))][: b - a]) for a, b, ws in zip(ptr[:-1], ptr[1:], words_of, strict=True)]
+
+
+def _block_links(pdf: pd.DataFrame, o: Options) -> pd.DataFrame:
+    """Links between different components of one block, verified on words: as many as join what can be joined, so fewer
+    than sets. Sets are compared by counts in a few cells first."""
     pdf = pdf.drop_duplicates("set_id")
-    sketches = [np.frombuffer(x, np.uint8) for x in pdf["sketch"]]
-    cells = min(map(len, sketches))
-    table = np.stack([_fold(x, cells) for x in sketches]).astype(np.int16)
-    ids, n, component = (pdf[c].to_numpy() for c in ("set_id", "n", "component"))
-    largest, done, out = pdf["component"].mode().iloc[0], np.zeros(len(ids), bool), []
-    for i in np.flatnonzero(component != largest):  # one end of a pair is outside the largest component
+    ids, (sets, component) = exact_ids(pdf["text"].to_list(), o.n), (pdf[c].to_numpy() for c in ("set_id", "component"))
+    n = np.array([len(x) for x in ids])
+    table = np.stack([np.bincount(mix(x.astype(np.uint64)).astype(np.int64) & 255, minlength=256) for x in ids]).astype(np.int32)
+    # by number; those of short texts are negative and lie at the end
+    mark = np.zeros(max((int(x[-1]) for x in ids if len(x)), default=0) + 1 + len(ids), bool)
+    label = np.unique(component, return_inverse=True)[1].reshape(-1)
+    outside, done, out = np.flatnonzero(label != np.bincount(label).argmax()), np.zeros(len(ids), bool), []
+    for i in outside.tolist():  # one end of a pair is outside the largest component
         done[i] = True
-        near = np.flatnonzero((component != component[i]) & ~done)
-        apart = np.abs(table[near] - table[i]).sum(axis=1, dtype=np.int64)
-        near = near[apart <= _most_apart(n[near], int(n[i]), o)]
-        out += [(min(ids[i], ids[x]), max(ids[i], ids[x])) for x in near]
+        near = np.flatnonzero((label != label[i]) & ~done)
+        apart = np.abs(table[near] - table[i]).sum(axis=1)
+        mark[ids[i]] = True
+        for j in near[apart <= _most_apart(n[near], int(n[i]), o)].tolist():
+            both = int(np.count_nonzero(mark[ids[j]])) if label[j] != label[i] else 0
+            if both and o.of * both >= o.at * (int(n[i] + n[j]) - both):
+                label[label == label[j]] = label[i]
+                out.append((min(sets[i], sets[j]), max(sets[i], sets[j])))
+        mark[ids[i]] = False
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def set_components(rows: DataFrame, o: Options = Options()) -> tuple[DataFrame, DataFrame]:
     """(__row, n_shingles, set_id) of each of rows (__row, text) and (node, component) of the sets that link to others.
 
-    Equal sets are one, told apart by two hashes. First each set of an index entry is compared with the entry's smallest.
-    Entries that still hold several components are then compared in full, across components only: as pairs if they hold
-    `small` sets at most, else in blocks of sketches inside a task. So copies of one text cost no more than their number,
-    and no link between components is missed. Pairs are verified on the words of their texts.
+    Equal sets are one, told apart by two hashes. First each set of an index entry is compared with the entry's smallest;
+    in `rounds` more, each set with one of another component that leads one of its entries. Entries that still hold
+    several components are then compared in full, across components only: as pairs if they hold `small` sets at most,
+    else in blocks inside a task. So groups of copies cost little more than their number, and no link between components
+    is missed. Links are verified on the words of both texts.
     """
     keyed, edges = rows.select("__row", "text"), bands(o)
 
@@ -352,9 +378,9 @@ def set_components(rows: DataFrame, o: Options = Options()) -> tuple[DataFrame,
             yield pa.RecordBatch.from_arrays([pa.array(sig[use].view(np.int64)), pa.array(ids[of[use]])], names=["sig", "set_id"])
 
     entries = keyed.mapInArrow(index, "sig long, set_id long")
-    by_sig = Window.partitionBy("sig")
-    entries = entries.withColumn("leader", F.min("set_id").over(by_sig)).withColumn("last", F.max("set_id").over(by_sig)).where("leader != last")
-    entries = stage(entries.select("sig", "set_id", "leader").distinct(), "entries")
+    # counted before the join, which splits hot entries
+    shared_sigs = entries.groupBy("sig").agg(F.min("set_id").alias("leader"), F.max("set_id").alias("last")).where("leader != last")
+    entries = stage(split_join(entries, shared_sigs.drop("last"), "sig").distinct(), "entries")
 
     candidates = entries.select("set_id").distinct()
     first = members.where("n_shingles > 0").groupBy("set_id").agg(F.min("__row").alias("__row"))
@@ -371,7 +397,20 @@ def set_components(rows: DataFrame, o: Options = Options()) -> tuple[DataFrame,
     links = _links(entries.where("set_id != leader").select(F.col("set_id").alias("a"), F.col("leader").alias("b")).distinct(), sets, o)
     labels = components(links)
 
-    final = entries.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("sig", "set_id", F.coalesce("component", "set_id").alias("component"))
+    def labelled() -> DataFrame:
+        known = entries.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
+        return known.select("sig", "set_id", F.coalesce("component", "set_id").alias("component"))
+
+    for i in range(o.rounds):
+        lead = F.min_by(F.struct(F.col("set_id").alias("b"), F.col("component").alias("other")), F.xxhash64("sig", "set_id", F.lit(i)))
+        leads = labelled().groupBy("sig").agg(lead.alias("lead"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+        asked = split_join(labelled(), leads.select("sig", "lead"), "sig").where("component != lead.other")
+        found = _links(asked.groupBy(F.col("set_id").alias("a")).agg(F.min_by("lead.b", F.xxhash64("sig", F.lit(i))).alias("b")), sets, o)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = components(links)
+
+    final = labelled()
     # entries with the same sets are one
     groups = final.groupBy("sig").agg(F.count("*").alias("n"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("h"), F.sum(F.xxhash64("set_id", F.lit(1)).cast("decimal(38,0)")).alias("h2"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
     groups = groups.groupBy(F.col("n").alias("held"), "h", "h2").agg(F.min("sig").alias("sig"))
@@ -390,9 +429,9 @@ def set_components(rows: DataFrame, o: Options = Options()) -> tuple[DataFrame,
     blocks = chunks.alias("l").join(chunks.alias("r"), F.expr("l.sig = r.sig and l.chunk <= r.chunk and not (l.lo = l.hi and r.lo = r.hi and l.lo = r.lo)"))
     blocks = blocks.select(F.col("l.sig").alias("sig"), F.col("l.chunk").alias("i"), F.col("r.chunk").alias("j"))
     blocks = blocks.select("sig", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("chunk"))
-    shipped = blocks.join(chunked, ["sig", "chunk"]).join(sets.select("set_id", "n", "sketch"), "set_id").select("sig", "i", "j", "set_id", "component", "n", "sketch")
-    blocked = shipped.groupBy("sig", "i", "j").applyInPandas(lambda pdf: _block_pairs(pdf, o), "a long, b long")
-    more = _links(pairs.unionByName(blocked).distinct(), sets, o)
+    shipped = blocks.join(chunked, ["sig", "chunk"]).join(sets.select("set_id", "text"), "set_id").select("sig", "i", "j", "set_id", "component", "text")
+    blocked = shipped.groupBy("sig", "i", "j").applyInPandas(lambda pdf: _block_links(pdf, o), "a long, b long")
+    more = _links(pairs.distinct(), sets, o).unionByName(stage(blocked, "links"))
     if more.isEmpty():
         return members, labels
     return members, components(links.unionByName(more))

@@ -185,9 +185,9 @@ def test_jaccard_brute_force(spark, at, small, block, seed):
     assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == components_by_hand(rows, 3, at, 100)
 
 
-@pytest.mark.parametrize("n, at, match", [(5, 80, 0.3), (5, 80, 0.0), (3, 60, 0.3), (3, 90, 0.3)])
+@pytest.mark.parametrize("n, at, match", [(5, 80, 0.3), (5, 80, 0.0), (3, 60, 0.3), (3, 90, 0.3), (3, 60, 0.9)])
 def test_jaccard_prefixes_of_any_size(spark, n, at, match):
-    """Each document and its prefixes just above and below the threshold; with match=0 single segments."""
+    """Each document and its prefixes just above and below the threshold; with match=0 single segments, with 0.9 longer evidence."""
     rows = []
     for base, size in enumerate([6, 7, 9, 11, 14, 18, 23, 31, 44, 60, 95, 140, 260, 500]):
         words = [f"b{base}w{i}" for i in range(size + n - 1)]
@@ -249,6 +249,16 @@ def test_every_linked_pair_shares_a_signature(at, layout):
                 assert set(sig[of == 0]) & set(sig[of == 1]), (size, gone, more)
 
 
+def test_numbers_are_exact():
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("aAbBcd") for _ in range(rng.randint(0, 30))) for _ in range(60)] + ["", " \n", "a b", "A  b", "b a"]
+    for n in (1, 2, 3, 5):
+        ids, sets = jaccard_join.exact_ids(texts, n), [jaccard_join.shingles(t, n) for t in texts]
+        for x, s in zip(ids, sets, strict=True):
+            for y, t in zip(ids, sets, strict=True):
+                assert len(x) == len(s) and len(np.intersect1d(x, y)) == len(s & t)
+
+
 def test_sketches_bound_differences():
     rng = np.random.default_rng(1)
     for _ in range(50):
