@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -23,6 +24,7 @@ class Options:
     repetition: float | None = 1.5
     budget: int | None = None
     blocks: int = 1024
+    sent: int = 200_000
     seed: int = 29
 
 
@@ -30,42 +32,79 @@ def n_words(text: str = "text") -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def weights(shares: list[float], alpha: float) -> list[float]:
-    raised = [math.exp(alpha * math.log(p)) if p > 0 else 0.0 for p in shares]
-    return [x / sum(raised) for x in raised]
+@dataclass(frozen=True)
+class Totals:
+    """Of the sources with tokens: how many, the least and most tokens of one, and for exponents a the sums of t**a and
+    of t**a * log(t), t as a share of the most."""
 
+    n: int
+    least: int
+    most: int
+    sums: Callable[[list[float]], list[tuple[float, float]]]
 
-def _bisect(meets, steps: int = 60) -> float:
-    """The smallest exponent in [0, 1] that meets a condition which holds from some exponent on; 1 if none does."""
-    if meets(0.0):
-        return 0.0
+
+def totals_of(tokens: list[int]) -> Totals:
+    some = [t for t in tokens if t > 0]
+    most = max(some, default=1)
+
+    def sums(alphas: list[float]) -> list[tuple[float, float]]:
+        logs = [math.log(t / most) for t in some]
+        return [(sum(math.exp(a * x) for x in logs), sum(math.exp(a * x) * x for x in logs)) for a in alphas]
+
+    return Totals(len(some), min(some, default=1), most, sums)
+
+
+def spark_totals(by_source: DataFrame) -> Totals:
+    """Of a table (source_tokens), a row a source; the sums are aggregated in Spark, only they reach the driver."""
+    some = by_source.where("source_tokens > 0")
+    n, least, most = some.agg(F.count("*"), F.min("source_tokens"), F.max("source_tokens")).first()
+    x = F.log(F.col("source_tokens") / F.lit(float(most or 1)))
+
+    def sums(alphas: list[float]) -> list[tuple[float, float]]:
+        r = some.agg(*[c for i, a in enumerate(alphas) for c in (F.sum(F.exp(a * x)).alias(f"s{i}"), F.sum(F.exp(a * x) * x).alias(f"l{i}"))]).first()
+        return [(r[f"s{i}"] or 0.0, r[f"l{i}"] or 0.0) for i in range(len(alphas))]
+
+    return Totals(n, least or 1, most or 1, sums)
+
+
+def _bisect(meets: Callable[[list[float]], list[bool]], rounds: int = 12, fan: int = 31) -> float:
+    """The smallest exponent in [0, 1] that meets a condition which holds from some exponent on; 1 if none does.
+
+    Bisection with `fan` exponents tried at once, so that a round is one job.
+    """
     low, high = 0.0, 1.0
-    for _ in range(steps):
-        middle = (low + high) / 2
-        low, high = (low, middle) if meets(middle) else (middle, high)
+    if meets([0.0])[0]:
+        return 0.0
+    for _ in range(rounds):
+        tried = [low + (high - low) * (i + 1) / (fan + 1) for i in range(fan)]
+        first = next((i for i, ok in enumerate(meets(tried)) if ok), fan)
+        low, high = (low, *tried, high)[first], (*tried, high)[first]
     return high
 
 
-def exponent(tokens: list[int], o: Options = Options()) -> float:
+def exponent(tokens: list[int] | Totals, o: Options = Options()) -> float:
     """Exponent 1 keeps the sources' shares, 0 makes them equal. Entropy falls and repetition falls with it."""
-    total = sum(tokens)
-    if not total:
+    t = tokens if isinstance(tokens, Totals) else totals_of(tokens)
+    if not t.n:
         return 1.0
-    shares = [t / total for t in tokens]
+    spread = math.log(t.most / t.least)
 
-    def passes(alpha: float) -> float:
-        w = weights(shares, alpha)
-        b = o.budget or max(t / x for t, x in zip(tokens, w, strict=True) if t)
-        return max(b * x / t for t, x in zip(tokens, w, strict=True) if t)
+    def few_passes(alphas: list[float]) -> list[bool]:
+        # of the smallest source; without a budget the largest is passed once
+        if o.budget is None:
+            passes = [math.exp((1 - a) * spread) for a in alphas]
+        else:
+            passes = [o.budget / t.most / s * math.exp((1 - a) * spread) for a, (s, _) in zip(alphas, t.sums(alphas), strict=True)]
+        return [x <= o.repetition + 1e-12 for x in passes]
 
-    def entropy(alpha: float) -> float:
-        return -sum(x * math.log(x) for x in weights(shares, alpha) if x > 0) / math.log(max(2, sum(t > 0 for t in tokens)))
+    def mixed(alphas: list[float]) -> list[bool]:
+        flat = t.sums([1 - a for a in alphas])
+        return [(math.log(s) - (1 - a) * x / s) / math.log(max(2, t.n)) >= o.entropy for a, (s, x) in zip(alphas, flat, strict=True)]
 
-    alpha = 0.0 if o.repetition is None else _bisect(lambda a: passes(a) <= o.repetition + 1e-12)
+    alpha = 0.0 if o.repetition is None else _bisect(few_passes)
     if o.entropy is not None:
         # the largest exponent of enough entropy, but not below what the repetition limit allows
-        mirrored = 1 - _bisect(lambda a: entropy(1 - a) >= o.entropy)
-        alpha = max(alpha, mirrored)
+        alpha = max(alpha, 1 - _bisect(mixed))
     return alpha
 
 
@@ -77,14 +116,13 @@ def plan(docs: DataFrame, o: Options = Options()) -> DataFrame:
     """
     blocks = stage(docs.groupBy("source", _block(o).alias("block")).agg(F.sum(n_words()).alias("tokens"), F.count("*").alias("n_docs")), "blocks")
     by_source = stage(blocks.groupBy("source").agg(F.sum("tokens").alias("source_tokens")), "sources")
-    # the exponent needs every source's total: numbers for each distinct total, with how many sources have it
-    totals = [(r["source_tokens"], r["n"]) for r in by_source.groupBy("source_tokens").agg(F.count("*").alias("n")).collect()]
-    tokens = [t for t, n in totals for _ in range(n)]
-    alpha, total = exponent(tokens, o), sum(tokens)
-    raised = sum(math.exp(alpha * math.log(t / total)) for t in tokens if t)
-    least = max((t * raised / math.exp(alpha * math.log(t / total)) for t in tokens if t), default=0.0)
-    weight = F.when(F.col("source_tokens") > 0, F.exp(alpha * F.log(F.col("source_tokens") / F.lit(float(total or 1)))) / (raised or 1.0)).otherwise(0.0)
-    quota = by_source.withColumn("weight", weight).withColumn("quota", F.col("weight") * float(o.budget or least))
+    totals = spark_totals(by_source)
+    alpha = exponent(totals, o)
+    # shares of the largest source; its quota without a budget is its tokens, so it is passed once
+    raised = totals.sums([alpha])[0][0] or 1.0
+    budget = o.budget if o.budget is not None else totals.most * raised
+    weight = F.when(F.col("source_tokens") > 0, F.exp(alpha * F.log(F.col("source_tokens") / F.lit(float(totals.most)))) / raised).otherwise(0.0)
+    quota = by_source.withColumn("weight", weight).withColumn("quota", F.col("weight") * float(budget))
     # whole passes, then what is left of the quota; a source of no tokens is passed once
     done = F.when(F.col("source_tokens") > 0, F.floor(F.col("quota") / F.greatest(F.col("source_tokens"), F.lit(1)) + 1e-9)).otherwise(1)
     quota = quota.withColumn("whole", done).withColumn("rest", F.greatest(F.col("quota") - F.col("whole") * F.col("source_tokens"), F.lit(0.0)))
@@ -103,10 +141,14 @@ def mix_sources(docs: DataFrame, o: Options = Options()) -> DataFrame:
     """docs with mix_pass, from 0, and mix_order, the place of its block in that pass: each row as often as planned.
 
     A null source is one of its own; null text has no tokens; repeated rows are drawn alike; an empty table gives an
-    empty one; columns named as a new one are replaced. The plan has sources * blocks rows at most; it is joined by (source, block), which splits a hot source.
+    empty one; columns named as a new one are replaced. The plan has sources * blocks rows at most; a small one is sent
+    to every task, a larger one joined by (source, block), which splits a hot source.
     """
     docs = docs.drop("mix_pass", "mix_order")
     chosen = plan(docs, o).where("passes > 0").select(F.col("source").alias("__source"), F.col("block").alias("__of"), F.col("passes").alias("__passes"))
+    chosen = stage(chosen, "plan")
+    if chosen.count() <= o.sent:
+        chosen = F.broadcast(chosen)
     keyed = docs.withColumn("__block", _block(o))
     joined = keyed.join(chosen, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__block") == F.col("__of")))
     drawn = joined.withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.col("__passes") - 1)))

@@ -18,103 +18,128 @@ from .words import Spans, gram_starts, mix, words
 class Options:
     """buckets: for words and as many for word pairs, so the model has a fixed size.
 
-    labelled: at most so many labelled rows (those of smallest hash) fit the target model and, half of them, the
-    threshold; raw counts always cover every document. smoothing: tokens of the raw model mixed into the target's.
-    temperature: of the Gumbel noise, in units of the mean log ratio an n-gram. keep: share of good calibration rows
-    that must lie above the threshold from which the sample size follows.
+    labelled: at most so many labelled rows (those of smallest hash) fit the target model and, half of them, the length
+    correction; raw counts always cover every document. smoothing: tokens of the raw model mixed into the target's.
+    temperature: of the Gumbel noise; with 1 rows are drawn in proportion to their weights. keep: share of good
+    calibration rows with a log weight of 0 or more. sample: rows to draw, or None for as many as have such a weight.
     """
 
     buckets: int = 1 << 16
     labelled: int = 20_000
     smoothing: float = 10_000.0
-    temperature: float = 0.004
+    temperature: float = 1.0
     keep: float = 0.995
+    sample: int | None = None
     seed: int = 17
 
 
-def features(column: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket and text of each lower-case word and pair of words; n-grams of each text."""
+def features(column: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of each text's lower-case words and pairs of words, text by text, and the start of each text's (and the end)."""
     w = words(column, lower=True)
     start, text = gram_starts(w.ptr, 2)
     pairs = Spans(w.hash).of(start, 2)
-    bucket = np.concatenate((w.hash % np.uint64(buckets), pairs % np.uint64(buckets) + np.uint64(buckets))).astype(np.int64)
+    bucket = np.concatenate((w.hash % np.uint64(buckets), pairs % np.uint64(buckets) + np.uint64(buckets))).astype(np.uint32)
     of = np.concatenate((np.repeat(np.arange(len(column)), np.diff(w.ptr)), text))
-    return bucket, of, np.bincount(of, minlength=len(column))
+    return bucket[np.argsort(of, kind="stable")], np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(column)))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, o: Options = Options()) -> tuple[np.ndarray, float]:
-    """Log ratio of each bucket and the threshold. Target: labelled rows of quality 1 in one half; the other calibrates.
+def featured(docs: DataFrame, labels: DataFrame, o: Options = Options()) -> DataFrame:
+    """docs as a staged table with __buckets (binary, 4 bytes an n-gram), __fits and __holds: the only time that words are cut.
 
-    Without labelled good rows the ratios are 0 and the threshold keeps all. Labels that are null or disagree about a
-    document count by their highest quality.
+    Labelled rows of quality 1 fit the target in one half and hold for calibration in the other. Labels that are null or
+    disagree about a document count by their highest quality.
     """
     picked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     picked = picked.withColumn("half", F.xxhash64("doc_id", F.lit(o.seed)))
     # bounded by o.labelled, so small enough to send to every task
-    chosen = picked.orderBy("half", "doc_id").limit(o.labelled).withColumn("fits", F.col("half") % 2 == 0)
-    chosen = stage(chosen.select("doc_id", "quality", "fits"), "labelled")
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left")
+    chosen = picked.orderBy("half", "doc_id").limit(o.labelled).where("quality = 1").select(F.col("doc_id").alias("__id"), (F.col("half") % 2 == 0).alias("__half"))
+    flagged = docs.join(F.broadcast(stage(chosen, "labelled")), F.col("doc_id") == F.col("__id"), "left")
+    flagged = flagged.select(*docs.columns, row_key().alias("__key"), F.coalesce("__half", F.lit(False)).alias("__fits"), F.coalesce(~F.col("__half"), F.lit(False)).alias("__holds"))
+    names = flagged.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            bucket, ptr = features(batch.column(names.index("text")), o.buckets)
+            cells = [bucket[a:b].tobytes() for a, b in zip(ptr[:-1].tolist(), ptr[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.binary())], names=[*names, "__buckets"])
+
+    return stage(flagged.mapInArrow(run, flagged.schema.simpleString()[7:-1] + ",__buckets:binary"), "features")
+
+
+def _buckets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All buckets of a column, the row of each, and each row's number."""
+    cells = [np.frombuffer(x.as_buffer(), np.uint32) if x.is_valid else np.zeros(0, np.uint32) for x in column]
+    n = np.array([len(x) for x in cells], np.int64)
+    return np.concatenate([*cells, np.zeros(0, np.uint32)]), np.repeat(np.arange(len(cells)), n), n
+
+
+def log_ratios(rows: DataFrame, o: Options = Options()) -> np.ndarray:
+    """Log of target over raw frequency of each bucket of rows (__buckets, __fits); 0 without target rows.
+
+    The target's counts are smoothed by the raw model.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(2 * o.buckets, np.int64), np.zeros(2 * o.buckets, np.int64)
-        for batch in text_slices(batches):
-            bucket, of, _ = features(batch.column(0), o.buckets)
-            good = np.array(batch.column(1).to_pylist(), bool)
+        for batch in text_slices(batches, "__buckets", 8 << 20):
+            bucket, of, _ = _buckets(batch.column(0))
             raw += np.bincount(bucket, minlength=len(raw))
-            target += np.bincount(bucket[good[of]], minlength=len(raw))
+            target += np.bincount(bucket[batch.column(1).to_numpy(zero_copy_only=False).astype(bool)[of]], minlength=len(raw))
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
 
-    good = F.coalesce(F.col("fits") & (F.col("quality") == 1), F.lit(False)).alias("good")
-    counted = joined.select("text", good).mapInArrow(count, "bucket long, raw long, target long")
+    counted = rows.select("__buckets", "__fits").mapInArrow(count, "bucket long, raw long, target long")
     # 2 * buckets rows at most reach the driver
-    rows = np.array([tuple(r) for r in counted.groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()], np.int64).reshape(-1, 3)
+    found = np.array([tuple(r) for r in counted.groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()], np.int64).reshape(-1, 3)
     raw, target = np.zeros(2 * o.buckets), np.zeros(2 * o.buckets)
-    raw[rows[:, 0]], target[rows[:, 0]] = rows[:, 1], rows[:, 2]
+    raw[found[:, 0]], target[found[:, 0]] = found[:, 1], found[:, 2]
     ratio = np.zeros(2 * o.buckets)
     for part in (slice(0, o.buckets), slice(o.buckets, None)):
         if target[part].sum():
             p = raw[part] / raw[part].sum()
             some = p > 0
             ratio[part][some] = np.log((target[part][some] + o.smoothing * p[some]) / (target[part].sum() + o.smoothing) / p[some])
-    held = docs.join(F.broadcast(chosen.where("not fits and quality = 1")), "doc_id", "left_semi")
-    at = score(held, ratio, o).agg(F.percentile("log_weight", 1 - o.keep)).first()[0]
-    return ratio, float("-inf") if at is None or not target.any() else at
+    return ratio
 
 
-def score(docs: DataFrame, ratio: np.ndarray, o: Options = Options()) -> DataFrame:
-    """Adds n_grams, log_weight (mean log ratio of an n-gram, 0 for none) and perturbed (with Gumbel noise).
+def score(rows: DataFrame, ratio: np.ndarray, level: float = 0.0, o: Options = Options()) -> DataFrame:
+    """rows (of `featured`) with n_grams, log_weight and perturbed in place of the columns from __key on.
 
-    The mean, not the sum, so that long texts are not favoured. The noise follows from doc_id, text and seed, so equal
-    rows share it and a task that runs again draws the same.
+    log_weight is the sum over n-grams of log ratio less `level`: without the correction long texts would win or lose
+    by their length alone. perturbed adds Gumbel noise, which follows from doc_id, text and seed, so equal rows share it
+    and a task that runs again draws the same.
     """
-    docs = docs.drop("n_grams", "log_weight", "perturbed")
-    names = docs.columns
-    key, weights = "__key", docs.sparkSession.sparkContext.broadcast(ratio)
+    names, weights = [c for c in rows.columns if not c.startswith("__")], rows.sparkSession.sparkContext.broadcast(ratio - level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
-            at = batch.schema.get_field_index("text")
-            bucket, of, n = features(batch.column(at), o.buckets)
-            mean = np.bincount(of, weights=weights.value[bucket], minlength=len(n)) / np.maximum(n, 1)
-            drawn = mix(batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) + np.uint64(o.seed))
+        for batch in text_slices(batches, "__buckets", 8 << 20):
+            bucket, of, n = _buckets(batch.column(len(names)))
+            total = np.bincount(of, weights=weights.value[bucket], minlength=len(n))
+            drawn = mix(batch.column(len(names) + 1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) + np.uint64(o.seed))
             uniform = ((drawn >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
-            noisy = mean - o.temperature * np.log(-np.log(uniform))
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1] + [pa.array(n), pa.array(mean), pa.array(noisy)], names=[*names, "n_grams", "log_weight", "perturbed"])
+            noisy = total - o.temperature * np.log(-np.log(uniform))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(n), pa.array(total), pa.array(noisy)], names=[*names, "n_grams", "log_weight", "perturbed"])
 
-    schema = docs.schema.simpleString()[7:-1]
-    return docs.withColumn(key, row_key()).mapInArrow(run, f"{schema}{',' if schema else ''}n_grams:bigint,log_weight:double,perturbed:double")
+    kept = rows.select(*names, "__buckets", "__key")
+    schema = rows.select(*names).schema.simpleString()[7:-1]
+    return kept.mapInArrow(run, f"{schema}{',' if schema else ''}n_grams:bigint,log_weight:double,perturbed:double")
 
 
 def resample(docs: DataFrame, labels: DataFrame, o: Options = Options()) -> DataFrame:
     """The sample of docs, with all their columns and n_grams, log_weight and perturbed.
 
-    Its size k is the number of documents whose weight reaches the threshold; the k largest perturbed weights are
-    drawn, which is sampling without replacement in proportion to exp(log_weight / temperature). Rows that tie at the
-    k-th value are all drawn. Null text is empty (weight 0); an empty table gives an empty sample; a column of docs with
-    the name of a new one is replaced.
+    The level of the length correction is what all but 1 - keep of the good calibration rows reach in the mean (0 without
+    any). The k largest perturbed log weights are drawn, which is sampling without replacement in proportion to
+    exp(log_weight / temperature): where n-grams say much the weight decides, for short or ambiguous texts the draw.
+    Rows that tie at the k-th value are all drawn. Null text is empty (weight 0); an empty table gives an empty sample; a
+    column of docs with the name of a new one is replaced.
     """
-    ratio, threshold = fit(docs, labels, o)
-    scores = stage(score(docs.select("doc_id", "text"), ratio, o).select("log_weight", "perturbed"), "scores")
-    last = kth_largest(scores, "perturbed", scores.where(F.col("log_weight") >= threshold).count())
-    return score(docs, ratio, o).where(F.col("perturbed") >= (float("inf") if last is None else last))
+    docs = docs.drop("n_grams", "log_weight", "perturbed")
+    rows = featured(docs, labels, o)
+    ratio = log_ratios(rows, o)
+    held = score(rows.where("__holds").select("__buckets", "__key"), ratio, 0.0, o).where("n_grams > 0")
+    level = held.agg(F.percentile(F.col("log_weight") / F.col("n_grams"), 1 - o.keep)).first()[0] or 0.0
+    scores = stage(score(rows.select("__buckets", "__key"), ratio, level, o), "scores")
+    k = scores.where("log_weight >= 0").count() if o.sample is None else o.sample
+    last = kth_largest(scores, "perturbed", k)
+    return score(rows, ratio, level, o).where(F.col("perturbed") >= (float("inf") if last is None else last))

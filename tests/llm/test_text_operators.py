@@ -46,6 +46,55 @@ def test_quality_held_out(spark):
     assert share[1] > 0.97 and share[0] < 0.1
 
 
+def test_ratios_and_draw_by_brute_force(spark):
+    """Models counted by hand, and the k largest of weight and noise, which decides some rows and not all."""
+    rng = random.Random(12)
+    good, bad = [f"g{i}" for i in range(40)], [f"b{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choice(good if (i % 2 or rng.random() < 0.4) else bad) for _ in range(rng.choice([0, 1, 2, 6, 30])))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 400, 3)], "doc_id long, quality int")
+    o = quality.Options(buckets=1 << 12, smoothing=50.0)
+    staged = quality.featured(docs, labels, o)
+    fits = {r["doc_id"] for r in staged.where("__fits").collect()}
+    holds = {r["doc_id"] for r in staged.where("__holds").collect()}
+    assert fits | holds == {i for i in range(0, 400, 3) if i % 2} and not fits & holds
+    bucket = {}
+    for d, text in rows:
+        got, ptr = quality.features(pa.array([text]), o.buckets)
+        bucket[d] = got.tolist()
+        n = len(text.split())
+        assert len(got) == ptr[-1] == max(0, 2 * n - 1) and sum(b < o.buckets for b in bucket[d]) == n
+    raw = collections.Counter(b for d, _ in rows for b in bucket[d])
+    target = collections.Counter(b for d in fits for b in bucket[d])
+    ratio = {}
+    for part in (range(o.buckets), range(o.buckets, 2 * o.buckets)):
+        all_raw, all_target = (sum(c[b] for b in part) for c in (raw, target))
+        for b in part:
+            if raw[b]:
+                p = raw[b] / all_raw
+                ratio[b] = math.log((target[b] + o.smoothing * p) / (all_target + o.smoothing) / p)
+    means = [sum(ratio[b] for b in bucket[d]) / len(bucket[d]) for d in holds if bucket[d]]
+    level = float(np.percentile(means, 100 * (1 - o.keep)))
+    weight = {d: sum(ratio[b] - level for b in bucket[d]) for d, _ in rows}
+    everyone = quality.score(staged, quality.log_ratios(staged, o), level, o).collect()
+    assert {r["doc_id"]: r["log_weight"] for r in everyone} == pytest.approx(weight)
+    k = sum(w >= 0 for w in weight.values())
+    drawn = sorted(everyone, key=lambda r: -r["perturbed"])[:k]
+    kept = {r["doc_id"] for r in quality.resample(docs, labels, o).collect()}
+    assert kept == {r["doc_id"] for r in drawn}
+    assert 0 < len(kept - {d for d, w in weight.items() if w >= 0}) < 0.3 * k
+    assert quality.resample(docs, labels, quality.Options(buckets=1 << 12, sample=25)).count() == 25
+
+
+def test_noise_draws_in_proportion(spark):
+    """The first of three by noise alone: shares follow the weights."""
+    df = spark.createDataFrame([(i, np.array([0] * (i % 3), np.uint32).tobytes(), i) for i in range(6000)], "doc_id long, __buckets binary, __key long")
+    rows = quality.score(df, np.full(1, math.log(2.0)), 0.0, quality.Options(buckets=1)).collect()
+    noisy = {r["doc_id"]: r["perturbed"] for r in rows}
+    first = collections.Counter(max(range(i, i + 3), key=noisy.get) % 3 for i in range(0, 6000, 3))
+    assert [first[i] / 2000 for i in range(3)] == pytest.approx([1 / 7, 2 / 7, 4 / 7], abs=0.04)
+
+
 def test_quality_edges(spark, edge, empty):
     labels = spark.createDataFrame([(1, 1, 0), (7, 1, None), (6, 0, 1), (None, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int")
     first = quality.resample(edge, labels)
@@ -273,9 +322,27 @@ def test_sketches_bound_differences():
 # Mixing
 
 
+def weights(tokens, alpha):
+    raised = [(t / sum(tokens)) ** alpha for t in tokens]
+    return [x / sum(raised) for x in raised]
+
+
+def test_sources_are_summed_in_spark(spark):
+    tokens = [1000, 300, 40, 5, 5, 0]
+    df = spark.createDataFrame([(t,) for t in tokens], "source_tokens long")
+    for o in (mixing.Options(), mixing.Options(entropy=0.9), mixing.Options(repetition=3.0, budget=2000), mixing.Options(entropy=0.7, repetition=None)):
+        assert mixing.exponent(mixing.spark_totals(df), o) == pytest.approx(mixing.exponent(tokens, o), abs=1e-9)
+    assert mixing.exponent(mixing.spark_totals(df.limit(0))) == 1.0
+
+
+def test_large_plans_are_joined(spark, edge):
+    small, large = (mixing.mix_sources(edge, mixing.Options(sent=n)) for n in (10**6, 0))
+    assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+
+
 def test_exponent_meets_its_targets():
     tokens = [1000, 300, 40, 5]
-    share = lambda a: mixing.weights([t / sum(tokens) for t in tokens], a)
+    share = lambda a: weights(tokens, a)
     a = mixing.exponent(tokens, mixing.Options(repetition=2.0))
     w = share(a)
     b = max(t / x for t, x in zip(tokens, w, strict=True))
@@ -300,7 +367,7 @@ def test_mixing_quota(spark):
         got[r["source"]] += words[r["doc_id"]]
         passes[r["doc_id"]].append(r["mix_pass"])
     sources = sorted(tokens)
-    w = mixing.weights([tokens[s] / sum(tokens.values()) for s in sources], mixing.exponent([tokens[s] for s in sources], o))
+    w = weights([tokens[s] for s in sources], mixing.exponent([tokens[s] for s in sources], o))
     budget = max(tokens[s] / x for s, x in zip(sources, w, strict=True))
     for s, x in zip(sources, w, strict=True):
         assert budget * x - 1e-6 <= got[s] <= budget * x + tokens[s] / 5
