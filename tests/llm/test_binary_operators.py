@@ -164,6 +164,117 @@ def test_extract():
     assert html.extract("no tags at all") == "no tags at all"
 
 
+LONG_TEXT = "<p>Some long text here that goes on for a while.</p><p>More of it, also long enough to count.</p>"
+SHAPES = {
+    "wrapper": f'<body><div class="layout with-sidebar"><div class=sidebar><a href=x>Home</a></div><div><h1>Title</h1>{LONG_TEXT}</div></div>',
+    "named wrapper": f'<body><div class="sidebar-layout"><div class=sidebar><a href=x>Home</a></div><div><h1>Title</h1>{LONG_TEXT}</div></div>',
+    "form": f'<body><form id=aspnetForm><div class=header><h2>Site</h2></div><div id=x><h1>Title</h1>{LONG_TEXT}</div><div class=footer>c 2020</div></form>',
+    "nav never closed": f"<body><nav><ul><li><a href=x>Home</a><li><a>News</a></ul><div><h1>Title</h1>{LONG_TEXT}</div></body>",
+    "entry header": f'<body><div class=post><div class="entry-header"><h1>Title</h1></div>{LONG_TEXT}</div><div class=footer>c 2020</div>',
+    "teaser articles": f"<body><div id=x><h1>Title</h1>{LONG_TEXT}</div><article><a href=1>Teaser one</a></article><article><a href=2>Teaser two</a></article>",
+    "articles of unequal length": f"<main><article><h1>Title</h1></article><article>{LONG_TEXT}</article></main>",
+    "long comments": f"<body><h1>Title</h1>{LONG_TEXT}<section id=comments>{LONG_TEXT * 5}</section>",
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_shapes_keep_their_text(shape):
+    assert html.extract(SHAPES[shape]) == "Title\nSome long text here that goes on for a while.\nMore of it, also long enough to count."
+
+
+def random_page(rng):
+    """A tree of (tag, children) and texts: sections of long and short paragraphs, lists of links, short remarks."""
+    word = lambda: rng.choice(["alpha", "beta", "gamma", "delta", "of", "to"])
+
+    def text(n):
+        return " ".join(word() for _ in range(n))
+
+    def section(depth):
+        kind = rng.random()
+        if depth and kind < 0.3:
+            return (rng.choice(["div", "section"]), [section(depth - 1) for _ in range(rng.randint(1, 4))])
+        if kind < 0.65:
+            return ("div", [("p", [text(rng.choice([2, 12, 30, 60]))]) for _ in range(rng.randint(1, 5))])
+        if kind < 0.8:
+            return ("ul", [("li", [("a", [text(rng.randint(1, 3))])]) for _ in range(rng.randint(1, 6))])
+        return ("div", [("div", [text(rng.randint(1, 4))]) for _ in range(rng.randint(1, 3))])
+
+    return ("body", [section(2) for _ in range(rng.randint(1, 6))])
+
+
+def markup(node):
+    return node if isinstance(node, str) else f"<{node[0]}>" + "".join(map(markup, node[1])) + f"</{node[0]}>"
+
+
+def slow_extract(page):
+    """The rules of extraction from the tree, line by line with plain loops, for pages of nothing named."""
+    lines, state = [], {"tags": 0}
+
+    def walk(node, path, linked):
+        tag, children = node
+        state["tags"] += 1
+        for i, c in enumerate(children):
+            if isinstance(c, str):
+                lines.append([c, 0, len(c) if linked else 0, path])
+            else:
+                walk(c, path if c[0] == "a" else (*path, (i, c[0])), linked or c[0] == "a")
+        state["tags"] += 1
+        if lines and not lines[-1][1] and tag != "a":
+            lines[-1][1], state["tags"] = state["tags"], 0
+
+    walk(page, (), False)
+    ratio = [(len(t) - linked) / tags for t, tags, linked, _ in lines]
+    weight = lambda d: math.exp(-0.5 * d * d) if abs(d) <= 3 else 0.0
+    n = range(len(ratio))
+    smoothed = [sum(ratio[j] * weight(i - j) for j in n) / sum(weight(i - j) for j in n) for i in n]
+    mean = sum(smoothed) / len(smoothed)
+    deviation = math.sqrt(sum((x - mean) ** 2 for x in smoothed) / len(smoothed))
+    middle = sorted(smoothed)
+    limit = min(deviation, (middle[len(middle) // 2] + middle[(len(middle) - 1) // 2]) / 2)
+    content = [x >= limit - 1e-12 for x in smoothed]
+    under = lambda p: [i for i in n if lines[i][3][: len(p)] == p]
+    held = lambda p: sum(len(lines[i][0]) for i in under(p) if content[i])
+    region = ()
+    while True:
+        inner = {lines[i][3][: len(region) + 1] for i in under(region)}
+        inner = [p for p in inner if len(p) > len(region) and p[-1][1] in ("div", "section") and held(p) and held(p) >= 0.8 * held(region)]
+        if not inner:
+            break
+        region = max(inner, key=held)
+    if region:
+        return "\n".join(lines[i][0] for i in under(region))
+    out = []
+    for i in n:
+        text, _, linked, path = lines[i]
+        part = path[:1] if path and path[0][1] in ("div", "section") else None
+        if part is None:
+            keep = 2 * linked < len(text)
+        else:
+            keep = any(content[j] for j in under(part)) and 2 * sum(lines[j][2] for j in under(part)) < sum(len(lines[j][0]) for j in under(part))
+        if keep:
+            out.append(text)
+    return "\n".join(out) or "\n".join(t for t, _, _, _ in lines)
+
+
+def test_regions_follow_the_smoothed_ratio(monkeypatch):
+    """Pages without article, main or names: a slow version agrees, and without the smoothing pages differ."""
+    rng = random.Random(4)
+    pages = [random_page(rng) for _ in range(300)]
+    got = [html.extract(markup(p)) for p in pages]
+    assert got == [slow_extract(p) for p in pages]
+    for other in (lambda ratio: ratio, lambda ratio: np.ones(len(ratio))):
+        monkeypatch.setattr(html, "smooth", other)
+        assert sum(html.extract(markup(p)) != x for p, x in zip(pages, got, strict=True)) > 20
+
+
+def test_pages_empty_and_long(spark):
+    many = "".join(f"<p>paragraph {i} of a very long page</p>" for i in range(20_000))
+    df = spark.createDataFrame([(1, "u", f"<article>{many}</article>"), (2, "u", ""), (3, "u", "<div>" * 20_000 + "deep")], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in html.extract_pages(df).collect()}
+    assert got[1]["text"].count("\n") == 19_999 and got[1]["n_chars"] == len(got[1]["text"]) and got[2]["text"] == "" and got[3]["text"] == "deep"
+    assert html.extract_pages(df.limit(0)).count() == 0
+
+
 def test_pages(spark):
     out = html.extract_pages(spark.createDataFrame([(1, "u", "<p>a  b</p>", 5), (None, None, None, None), (1, "u", "<p>a  b</p>", 5)], "page_id long, url string, html string, text int"))
     assert sorted(map(str, out.collect())) == sorted(["Row(page_id=None, url=None, text='', n_chars=0)"] + ["Row(page_id=1, url='u', text='a b', n_chars=3)"] * 2)
