@@ -19,8 +19,9 @@ from .common import stage
 @dataclass(frozen=True)
 class Options:
     """sample: vectors of smallest hash that fit the tree (at most); fan: children of a node; leaf: sample vectors in a
-    leaf at most. recall: wanted of the calibration queries, of which there are `probes`, against all of the sample;
-    slack: factor on the visits so found. cap: vectors and queries that one task compares."""
+    leaf at most, and about as many in each part that a task splits a leaf into. recall: wanted of the calibration
+    queries, of which there are `probes`, none of them among the fitted; slack: factor on the visits so found. cap:
+    vectors and queries that one task compares."""
 
     sample: int = 20_000
     fan: int = 8
@@ -73,10 +74,13 @@ class Tree:
             todo += [(kid, rows[near == i]) for i, kid in enumerate(kids) if (near == i).any()]
         return out
 
-    def visit(self, q: np.ndarray, leaves: int) -> list[int]:
-        """The first leaves in best-bin-first order: the nearest branch not yet taken, of all nodes passed, comes next."""
-        heap, out = [(0.0, self.root)], []
-        while heap and len(out) < leaves:
+    def visit(self, q: np.ndarray, leaves: int, sizes: np.ndarray | None = None, need: int = 0) -> list[int]:
+        """The first leaves in best-bin-first order: the nearest branch not yet taken, of all nodes passed, comes next.
+
+        With sizes it widens further until the leaves hold `need` in all.
+        """
+        heap, out, held = [(0.0, self.root)], [], 0
+        while heap and (len(out) < leaves or held < need):
             _, node = heapq.heappop(heap)
             while node not in self.leaf_of:
                 centres, kids = self.children[node]
@@ -87,6 +91,7 @@ class Tree:
                         heapq.heappush(heap, (float(d[i]), kid))
                 node = kids[best]
             out.append(self.leaf_of[node])
+            held += need if sizes is None else int(sizes[out[-1]])
         return out
 
 
@@ -106,13 +111,14 @@ def valid_vectors(vectors: DataFrame, vector: str = "embedding", width: int | No
     return some.where(F.size("v") == (top["n"] if top else 0))
 
 
-def calibrate(tree: Tree, sample: np.ndarray, k: int, o: Options) -> int:
-    """Leaf visits, widened step by step until the wanted share of the probes' true neighbours lies in visited leaves."""
-    leaf = tree.assign(sample)
-    probes = sample[np.linspace(0, len(sample) - 1, min(o.probes, len(sample))).astype(int)]
-    ranks = []
+def calibrate(tree: Tree, fitted: np.ndarray, probes: np.ndarray, k: int, o: Options) -> int:
+    """Leaf visits, widened step by step until the wanted share of the probes' true neighbours among the fitted lies in
+    visited leaves; all leaves without probes."""
+    if not len(probes):
+        return tree.leaves
+    leaf, ranks = tree.assign(fitted), []
     for q in probes:
-        near = np.argsort(((sample - q) ** 2).sum(axis=1), kind="stable")[: k + 1]
+        near = np.argsort(((fitted - q) ** 2).sum(axis=1), kind="stable")[:k]
         order = {x: i for i, x in enumerate(tree.visit(q, tree.leaves))}
         ranks += [order[x] for x in leaf[near]]
     visits = 1
@@ -121,23 +127,67 @@ def calibrate(tree: Tree, sample: np.ndarray, k: int, o: Options) -> int:
     return min(tree.leaves, math.ceil(visits * o.slack))
 
 
+def _parts(c: np.ndarray, o: Options) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Centres of parts of about o.leaf rows of c, the rows of each, and the distance of each part's farthest row."""
+    m = -(-len(c) // o.leaf)
+    centres = c[np.random.default_rng(o.seed).choice(len(c), m, replace=False)]
+    for _ in range(3 if m > 1 else 1):
+        near = _distances(c, centres).argmin(axis=1)
+        centres = np.stack([c[near == i].mean(axis=0) for i in np.unique(near)])
+    near = _distances(c, centres).argmin(axis=1)
+    rows = [np.flatnonzero(near == i) for i in range(len(centres))]
+    return centres, rows, np.array([np.sqrt(((c[r] - x) ** 2).sum(axis=1)).max() if len(r) else 0.0 for x, r in zip(centres, rows, strict=True)])
+
+
+def rough_squares(c: np.ndarray, asked: np.ndarray, k: int, parts: tuple[np.ndarray, list[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Squared distances of each of asked to rows of c, infinite for those of parts passed over.
+
+    Parts are taken nearest first; one is passed over if its ball lies beyond k + 1 rows already found, so these are
+    the nearest of all of c.
+    """
+    centres, rows, radius = parts
+    out = np.full((len(asked), len(c)), np.inf)
+    own, size = (asked * asked).sum(axis=1), (c * c).sum(axis=1)
+    to = np.sqrt(np.maximum(_distances(asked, centres) + own[:, None], 0.0))
+    order, least = np.argsort(to - radius, axis=1), np.maximum(to - radius, 0.0)
+    best, limit = np.full((len(asked), k + 1), np.inf), np.full(len(asked), np.inf)
+    for step in range(len(centres)):
+        part = order[:, step]
+        open_ = np.flatnonzero(least[np.arange(len(asked)), part] ** 2 <= limit * (1 + 1e-9) + 1e-9)
+        if not len(open_):
+            break
+        for p in np.unique(part[open_]):
+            q, r = open_[part[open_] == p], rows[p]
+            if len(r):
+                d = np.maximum(size[r] - 2.0 * asked[q] @ c[r].T + own[q, None], 0.0)
+                out[q[:, None], r] = d
+                best[q] = np.partition(np.concatenate((best[q], d), axis=1), k, axis=1)[:, : k + 1]
+                limit[q] = best[q].max(axis=1)
+    return out
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, o: Options = Options(), vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of `vectors` for each of `queries`, but itself.
 
-    Both have vec_id and a vector; score is the Euclidean distance. Every vector is indexed; the sample only shapes the
-    tree, whose size `sample` bounds. Equal vectors are one class, of which the k + 1 smallest ids suffice, and equal
+    Both have vec_id and a vector; score is the Euclidean distance; other columns are ignored, whatever their names.
+    Every vector is indexed; the sample only shapes the tree, whose size `sample` bounds. A query visits the calibrated
+    number of leaves, and more until they hold k + 1 vectors, so a query in a sparse leaf finds k too. Inside a task a
+    leaf is split into parts of about `leaf` vectors, so that work in it does not grow with the table where vectors have
+    structure; this loses nothing. Equal vectors are one class, of which the k + 1 smallest ids suffice, and equal
     queries are asked once, so copies do not multiply. A leaf with many vectors or queries is cut into blocks. Vectors
     that are null, zero, not finite or of another length take no part; repeated ids are one; ties go to smaller ids.
     """
     spark = vectors.sparkSession
     rows = valid_vectors(vectors, vector)
     classes = stage(_classes(rows, k), "classes")
-    sample = classes.select("v").withColumn("h", F.xxhash64("v", F.lit(o.seed))).orderBy("h", "v").limit(o.sample).select("v").toArrow().column("v").combine_chunks()
+    sample = classes.select("v").withColumn("h", F.xxhash64("v", F.lit(o.seed))).orderBy("h", "v").limit(o.sample + o.probes).select("v").toArrow().column("v").combine_chunks()
     if not len(sample):
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where("false")
     x = sample.flatten().to_numpy(zero_copy_only=False).reshape(len(sample), -1)
+    probes = x[max(len(x) - o.probes, len(x) * 9 // 10) :]
+    x = x[: len(x) - len(probes)] if len(x) > len(probes) else x
     tree = Tree(x, o)
-    visits = calibrate(tree, x, k, o)
+    visits = calibrate(tree, x, probes, k, o)
     held = spark.sparkContext.broadcast(tree)
     width = x.shape[1]
 
@@ -151,10 +201,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, o: Options = Opt
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaves = [held.value.visit(q, visits) for q in (matrix(batch.column(0)) if batch.num_rows else [])]
+            leaves = [held.value.visit(q, visits, sizes, k + 1) for q in (matrix(batch.column(0)) if batch.num_rows else [])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.list_(pa.int64()))], names=["v", "q", "leaves"])
 
     indexed = stage(classes.select("v", "ids").mapInArrow(index, "v array<double>, ids array<long>, leaf long"), "leaves")
+    sizes = np.zeros(tree.leaves, np.int64)  # a number a leaf
+    for r in indexed.groupBy("leaf").agg(F.sum(F.size("ids")).alias("n")).collect():
+        sizes[r["leaf"]] = r["n"]
     asked = valid_vectors(queries, vector, width)
     asked = stage(asked.select("vec_id", "v", F.xxhash64("v").alias("q")), "queries")
     distinct = asked.groupBy("q", "v").agg(F.lit(1).alias("one")).select("v", "q")
@@ -168,11 +221,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, o: Options = Opt
         out = []
         if len(left) and len(right):
             c, ids = np.stack(left["v"].to_list()), left["ids"].to_list()
-            size = (c * c).sum(axis=1)
+            size, parts = (c * c).sum(axis=1), _parts(c, o)
             for at in range(0, len(right), 256):
                 asked = np.stack(right["v"].iloc[at : at + 256].to_list())
                 own = (asked * asked).sum(axis=1)
-                rough = size - 2.0 * asked @ c.T + own[:, None]
+                rough = rough_squares(c, asked, k, parts)
                 most = np.partition(rough, k, axis=1)[:, k] if len(c) > k + 1 else np.full(len(asked), np.inf)
                 for q, v, d, bound, scale in zip(right["q"].iloc[at : at + 256], asked, rough, most, own, strict=True):
                     # all that rounding could bring among the k + 1 nearest, then by exact differences

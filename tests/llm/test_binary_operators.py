@@ -307,6 +307,59 @@ def test_neighbours_few_and_none(spark):
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def clustered(rng, clusters, each, dim=16):
+    centres = rng.normal(size=(clusters, dim)) * 10
+    return (np.repeat(centres, each, axis=0) + rng.normal(size=(clusters * each, dim))).round(3)
+
+
+def test_recall_with_less_than_half_of_the_leaves(spark):
+    rng = np.random.default_rng(6)
+    x = clustered(rng, 60, 60)
+    o = ann.Options(sample=2500, leaf=64, probes=100)
+    probes, fitted = x[::40], np.delete(x, np.s_[::40], axis=0)
+    tree = ann.Tree(fitted[rng.permutation(len(fitted))[: o.sample]], o)
+    assert ann.calibrate(tree, fitted, probes, 10, o) < tree.leaves / 2
+    vectors = dict(enumerate(x.tolist()))
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>").repartition(3)
+    visited = []
+    kept = ann.calibrate
+    ann.calibrate = lambda t, *a: visited.append((kept(t, *a), t.leaves)) or visited[-1][0]
+    try:
+        rows = ann.search(df, df.where("vec_id % 30 = 0"), 10, o).collect()
+    finally:
+        ann.calibrate = kept
+    assert visited[0][0] < visited[0][1] / 2
+    exact = {(q, i) for q, _, i, _ in neighbours_by_hand(vectors, [i for i in vectors if i % 30 == 0], 10)}
+    assert len(exact & {(r["query_id"], r["vec_id"]) for r in rows}) >= 0.9 * len(exact)
+
+
+def test_sparse_leaves_give_all_neighbours(spark):
+    """Outliers in a leaf of their own: visits go on until k + 1 vectors are held."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate((clustered(rng, 40, 50), np.full((3, 16), 900.0) + rng.normal(size=(3, 16))))
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    for o in (ann.Options(), ann.Options(leaf=32, recall=0.5)):
+        rows = ann.search(df, df.where("vec_id >= 2000"), 10, o).collect()
+        assert sorted((r["query_id"], r["rank"]) for r in rows) == [(q, n) for q in (2000, 2001, 2002) for n in range(1, 11)]
+
+
+def test_passed_over_parts_hold_none_of_the_nearest():
+    rng = np.random.default_rng(8)
+    c, q, o = clustered(rng, 30, 40), clustered(rng, 30, 40)[::50], ann.Options(leaf=50)
+    for rows in (c, rng.normal(size=(500, 16)), np.repeat(c[:2], 200, axis=0)):
+        rough = ann.rough_squares(rows, q, 10, ann._parts(rows, o))
+        exact = ((rows[None] - q[:, None]) ** 2).sum(axis=2)
+        assert np.allclose(np.sort(rough, axis=1)[:, :11], np.sort(exact, axis=1)[:, :11])
+    near = clustered(np.random.default_rng(8), 30, 40)[::50]
+    assert np.isinf(ann.rough_squares(c, near, 10, ann._parts(c, o))).mean() > 0.5
+
+
+def test_neighbours_of_other_columns(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0], i, "x", 0, None) for i in range(30)], "vec_id long, embedding array<double>, leaf int, v string, rank int, q string")
+    got = ann.search(df, df.where("vec_id = 5"), 2).collect()
+    assert [(r["rank"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 4), (2, 6)]
+
+
 def test_recall(spark):
     rows = queries.op7_ann(spark, "/root/testdata/sf0.1").collect()
     e = {r["vec_id"]: r["embedding"] for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()}
