@@ -78,8 +78,11 @@ def split_join(rows: DataFrame, counts: DataFrame, *keys: str, how: str = "inner
     counts are dealt out by the key itself already; a join by the key would take them as they lie, and the adaptive
     plan splits hot keys only where both sides are shuffled for the join.
     """
-    other = counts.select(*[F.bitwise_not(k).alias(f"__{k}") for k in keys], *[c for c in counts.columns if c not in keys])
-    on = [F.bitwise_not(rows[k]) == other[f"__{k}"] for k in keys]
+    def of(df: DataFrame, k: str) -> F.Column:
+        return F.concat(df[k], F.lit("\0")) if df.schema[k].dataType.typeName() == "string" else F.bitwise_not(df[k])
+
+    other = counts.select(*[of(counts, k).alias(f"__{k}") for k in keys], *[c for c in counts.columns if c not in keys])
+    on = [of(rows, k) == other[f"__{k}"] for k in keys]
     return rows.join(other, on, how).drop(*[f"__{k}" for k in keys])
 
 

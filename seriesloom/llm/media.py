@@ -103,10 +103,14 @@ def _jpeg(b: bytes, at: int) -> int:
 
 
 def _bmp(b: bytes, at: int) -> int:
-    if len(b) < at + 30:
+    if len(b) < at + 54:
         return 0
-    n, _, start, head = struct.unpack_from("<IIII", b, at + 2)
-    return n if 54 <= start <= n <= len(b) - at and head in (40, 52, 56, 108, 124) else 0
+    n, _, start, head, width, height, planes, bits, packed = struct.unpack_from("<IIIIiiHHI", b, at + 2)
+    if head not in (40, 52, 56, 108, 124) or not 14 + head <= start <= n <= len(b) - at or planes != 1 or bits not in (1, 4, 8, 16, 24, 32) or width <= 0 or not height:
+        return 0
+    if packed in (0, 3, 6):  # rows of whole 4-byte words, the file at most padded to one
+        return n if 0 <= n - start - (width * bits + 31) // 32 * 4 * abs(height) < 4 else 0
+    return n if packed in (1, 2, 4, 5) and 0 < struct.unpack_from("<I", b, at + 34)[0] <= n - start else 0
 
 
 def _pdf(b: bytes, at: int) -> int:
@@ -114,17 +118,124 @@ def _pdf(b: bytes, at: int) -> int:
     return end + 5 - at if end >= 0 and b.find(b"startxref", at, end) >= 0 else 0
 
 
-def _rest(*parts: tuple[int, bytes]):
-    """Formats whose length only a decoder tells: the structure is confirmed and they reach to the end."""
-    return lambda b, at: len(b) - at if all(b[at + i : at + i + len(x)] == x for i, x in parts) else 0
+def _zip(b: bytes, at: int) -> int:
+    """The end record that agrees with a central directory whose entries are there and point to entries of the file."""
+    end = at
+    while (end := b.find(b"PK\x05\x06", end + 1)) >= 0 and end + 22 <= len(b):
+        disk, first, here, total, size, offset, comment = struct.unpack_from("<HHHHIIH", b, end + 4)
+        pos, n = at + offset, 0
+        if disk or first or here != total or not total or pos + size != end or end + 22 + comment > len(b):
+            continue
+        while pos + 46 <= end and b[pos : pos + 4] == b"PK\x01\x02":
+            name, extra, note = struct.unpack_from("<HHH", b, pos + 28)
+            local = at + struct.unpack_from("<I", b, pos + 42)[0]
+            if b[local : local + 4] != b"PK\x03\x04":
+                break
+            pos, n = pos + 46 + name + extra + note, n + 1
+        if pos == end and n == total:
+            return end + 22 + comment - at
+    return 0
 
 
-def _zip(b: bytes, at: int) -> int:
-    end = b.find(b"PK\x05\x06", at)
-    return end + 22 + struct.unpack_from("<H", b, end + 20)[0] - at if 0 <= end <= len(b) - 22 else 0
+def _gzip(b: bytes, at: int) -> int:
+    """One member, read to its trailer, whose sum and length zlib checks; what comes out is not kept."""
+    d, pos = zlib.decompressobj(31), at
+    try:
+        while not d.eof:
+            chunk = d.unconsumed_tail or b[pos : pos + 65536]
+            if not chunk:
+                return 0
+            pos += 0 if d.unconsumed_tail else len(chunk)
+            d.decompress(chunk, 1 << 20)
+    except zlib.error:
+        return 0
+    return pos - len(d.unused_data) - at
+
+
+def _crc_table(bits: int, poly: int) -> list[int]:
+    """Of sums that take the highest bit first."""
+    top, out = 1 << bits - 1, []
+    for i in range(256):
+        c = i << bits - 8
+        for _ in range(8):
+            c = (c << 1 ^ poly if c & top else c << 1) & (top << 1) - 1
+        out.append(c)
+    return out
+
+
+_CRC8, _CRC16, _CRC32 = _crc_table(8, 0x07), _crc_table(16, 0x8005), _crc_table(32, 0x04C11DB7)
+
+
+def _ogg(b: bytes, at: int) -> int:
+    """Pages from a first one to a last one, each with its sum."""
+    pos, first = at, True
+    while pos + 27 <= len(b) and b[pos : pos + 5] == b"OggS\0":
+        flags, n = b[pos + 5], b[pos + 26]
+        end = pos + 27 + n + sum(b[pos + 27 : pos + 27 + n])
+        if end > len(b) or first != bool(flags & 2):
+            return 0
+        crc = 0
+        for x in b[pos : pos + 22] + b"\0\0\0\0" + b[pos + 26 : end]:
+            crc = (crc << 8 & 0xFFFFFFFF) ^ _CRC32[crc >> 24 ^ x]
+        if crc != struct.unpack_from("<I", b, pos + 22)[0]:
+            return 0
+        pos, first = end, False
+        if flags & 4:
+            return pos - at
+    return 0
+
+
+def _flac_header(b: bytes, pos: int) -> tuple[int, int]:
+    """Length of a frame's header at pos and its number of samples; 0, 0 if its sum does not hold."""
+    if len(b) < pos + 6 or b[pos] != 0xFF or b[pos + 1] & 0xFE != 0xF8:
+        return 0, 0
+    size, rate, lead = b[pos + 2] >> 4, b[pos + 2] & 15, b[pos + 4]
+    more = 0 if lead < 0x80 else 7 - (lead ^ 0xFF).bit_length()
+    at = pos + 5 + more
+    end = at + {6: 1, 7: 2}.get(size, 0) + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if size == 0 or rate == 15 or end >= len(b):
+        return 0, 0
+    crc = 0
+    for x in b[pos:end]:
+        crc = _CRC8[crc ^ x]
+    if crc != b[end]:
+        return 0, 0
+    if size in (6, 7):
+        return end + 1 - pos, int.from_bytes(b[at : at + size - 5], "big") + 1
+    return end + 1 - pos, 192 if size == 1 else 576 << size - 2 if size < 6 else 256 << size - 8
+
+
+def _flac(b: bytes, at: int) -> int:
+    """Metadata, then as many frames as the stream's samples need, each with the sums of its header and of itself."""
+    pos, last = at + 4, False
+    if len(b) < at + 42 or b[pos] & 127 or b[pos + 1 : pos + 4] != b"\0\0\x22":
+        return 0
+    left = int.from_bytes(b[pos + 17 : pos + 22], "big") & (1 << 36) - 1
+    if not left:  # of unknown length: structure can't be confirmed
+        return 0
+    while not last:
+        if pos + 4 > len(b):
+            return 0
+        last, pos = bool(b[pos] & 128), pos + 4 + int.from_bytes(b[pos + 1 : pos + 4], "big")
+    while left > 0:
+        head, samples = _flac_header(b, pos)
+        if not head:
+            return 0
+        left -= samples
+        crc, end = 0, pos
+        while end < len(b):
+            crc = (crc << 8 & 0xFFFF) ^ _CRC16[crc >> 8 ^ b[end]]
+            end += 1
+            # a frame with its own sum leaves nothing over
+            if not crc and end > pos + head + 2 and (left <= 0 or _flac_header(b, end)[0]):
+                break
+        else:
+            return 0
+        pos = end
+    return pos - at
 
 
-VALID = {"wav": _wav, "png": _png, "gif": _gif, "jpeg": _jpeg, "bmp": _bmp, "pdf": _pdf, "zip": _zip, "flac": _rest((4, b"\x00\x00\x00\x22")), "ogg": _rest((4, b"\x00")), "gzip": _rest((3, b"\x00"))}
+VALID = {"wav": _wav, "png": _png, "gif": _gif, "jpeg": _jpeg, "bmp": _bmp, "pdf": _pdf, "zip": _zip, "flac": _flac, "ogg": _ogg, "gzip": _gzip}
 
 
 def automaton():

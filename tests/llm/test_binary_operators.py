@@ -1,9 +1,12 @@
 """Token output, packing, media, HTML and nearest neighbours: round trips and brute force."""
 
+import gzip
 import hashlib
+import io
 import math
 import random
 import struct
+import zipfile
 import zlib
 
 import numpy as np
@@ -121,10 +124,68 @@ def png(w=2, h=2):
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\0\0" * h)) + chunk(b"IEND", b"")
 
 
+GIF = b"GIF89a\x01\0\x01\0\x80\0\0" + bytes(6) + b"\x2c\0\0\0\0\x01\0\x01\0\0\x02\x02D\x01\0\x3b"
+
+
+def bitmap():
+    return b"BM" + struct.pack("<IIIIiiHHIIiiII", 62, 0, 54, 40, 1, 2, 1, 24, 0, 8, 0, 0, 0, 0) + bytes(8)
+
+
+def crc(data, bits, poly):
+    c, top = 0, 1 << bits - 1
+    for x in data:
+        c ^= x << bits - 8
+        for _ in range(8):
+            c = (c << 1 ^ poly if c & top else c << 1) & (top << 1) - 1
+    return c
+
+
+def ogg(pages=3):
+    out = b""
+    for i in range(pages):
+        body = bytes(range(i, i + 20))
+        head = struct.pack("<4sBBqIII", b"OggS", 0, 2 * (i == 0) + 4 * (i == pages - 1), i, 7, i, 0) + bytes([1, len(body)])
+        out += head[:22] + struct.pack("<I", crc(head + body, 32, 0x04C11DB7)) + head[26:] + body
+    return out
+
+
+def flac(frames=3):
+    out = b"fLaC\x80\0\0\x22" + struct.pack(">HH", 16, 16) + bytes(6) + (44100 << 44 | 15 << 36 | 16 * frames).to_bytes(8, "big") + bytes(16)
+    for i in range(frames):
+        head = bytes([0xFF, 0xF8, 0x69, 0x08, i, 15])
+        body = head + bytes([crc(head, 8, 0x07)]) + bytes([0, 0, i])
+        out += body + struct.pack(">H", crc(body, 16, 0x8005))
+    return out
+
+
+def zipped():
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("a.txt", "text " * 50)
+        z.writestr("PK.bin", b"PK\x05\x06" + bytes(18))  # looks like an end record
+    return held.getvalue()
+
+
+@pytest.mark.parametrize("kind, b", [("ogg", ogg()), ("flac", flac()), ("zip", zipped()), ("gzip", gzip.compress(b"words " * 99)), ("bmp", bitmap())])
+def test_structure_decides_the_length(kind, b):
+    """Media between junk and other media: found with its own length, and not found if any part is damaged."""
+    for after in (b"", b" and more words", GIF, b):
+        found = media.sniff(b"text " + b + after)
+        assert found[0] == (kind, 5, len(b)) and [k for k, _, _ in found[1:]] == ({GIF: ["gif"], b: [kind]}.get(after, []))
+    assert media.sniff(b[:-1]) == []
+    for at in {"ogg": (10, 60), "flac": (44, 77), "bmp": (3, 15, 26), "gzip": (14, len(b) - 2), "zip": (len(b) - 4,)}[kind]:
+        assert media.sniff(b[:at] + bytes([b[at] ^ 0x55]) + b[at + 1 :]) == []
+
+
+def test_a_false_start_swallows_nothing():
+    for start in (b"\x1f\x8b\x08\0 junk ", b"OggS\0\2 junk ", b"fLaC\0\0\0\x22 junk ", b"PK\x03\x04 junk ", b"BM junk ", b"BM" + struct.pack("<IIII", 60, 0, 54, 40) + bytes(42)):
+        assert media.sniff(start + GIF + b" end") == [("gif", len(start), len(GIF))]
+
+
 def test_sniffing():
     gif = b"GIF89a\x01\0\x01\0\x80\0\0" + bytes(6) + b"\x2c\0\0\0\0\x01\0\x01\0\0\x02\x02D\x01\0\x3b"
     jpeg = b"\xff\xd8\xff\xe0\0\x04ab\xff\xc0\0\x04ab\xff\xda\0\x02data\xff\0x\xff\xd9"
-    bmp = b"BM" + struct.pack("<IIII", 60, 0, 54, 40) + bytes(42)
+    bmp = bitmap()
     pdf = b"%PDF-1.4 x startxref 1 %%EOF"
     for kind, b in (("png", png()), ("gif", gif), ("jpeg", jpeg), ("bmp", bmp), ("pdf", pdf), ("wav", media.store_wav(b"abc"))):
         assert media.sniff(b"text " + b + b" more") == [(kind, 5, len(b))]

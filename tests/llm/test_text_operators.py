@@ -405,3 +405,50 @@ def test_license_inheritance(spark):
 def test_license_edges(spark, edge, empty):
     assert licenses.scan(licenses.document_files(edge)).count() == edge.count()
     assert licenses.scan(licenses.document_files(empty)).count() == 0
+
+
+def test_license_texts(spark):
+    """Texts other than the templates: wrapped, commented, with holders, abridged, and the whole of a common licence."""
+    mit = """{title}Copyright (c) 2023 Some One and Others
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+{rest}"""
+    rest = """
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+    header = "#!/usr/bin/env python\n#\n# Licensed under the Apache License, Version 2.0 (the \"License\"); you may\n# not use this file except in compliance with the License.\nimport os\nprint(os)\n"
+    texts = [
+        ("LICENSE", mit.format(title="MIT License\n\n", rest=rest), "MIT"),
+        ("LICENSE.txt", mit.format(title="MIT License\n\n", rest=""), "MIT"),
+        ("COPYING", mit.format(title="", rest=""), "MIT"),
+        ("a.py", header, "Apache-2.0"),
+        ("b.c", "/* SPDX-License-Identifier: BSD-3-Clause */\nint main() {}", "BSD-3-Clause"),
+        ("c.c", "// Copyright 2020 X Inc. All rights reserved.\nint x;", "Proprietary"),
+        ("d.txt", "the mit of old and a license to drive, permission of any person\n" * 3, None),
+        ("e.go", "// This program is free software: you can redistribute it and/or modify\n// it under the terms of the GNU General Public License as published by\n// the Free Software Foundation, either version 3 of the License, or\n// (at your option) any later version.\npackage main", "GPL-3.0"),
+        ("LICENSE.md", "Copyright (c) 2015, A. Nother\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n", None),
+    ]
+    df = spark.createDataFrame([(i, str(i), name, text) for i, (name, text, _) in enumerate(texts)], "doc_id long, path string, name string, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(df).collect()}
+    assert [got[i] for i in range(8)] == [x for _, _, x in texts[:8]]
+    assert got[8] == "Proprietary"  # an opening alone is not a licence text; its notice is matched
+
+
+def test_license_hot_directory(spark):
+    rows = [(i, "hot/dir", f"{i}.txt", "words only") for i in range(500)] + [(500, "hot", "LICENSE", "Released under the MIT License.")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, name string, text string")).groupBy("license", "basis").count().collect()
+    assert sorted(map(tuple, got)) == [("MIT", "inherited", 500), ("MIT", "own", 1)]
