@@ -71,8 +71,9 @@ def pack(pieces: DataFrame, capacity: int = 4096, group: int = 8192, loose: floa
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32, salt).
 
     Pieces are dealt by a hash of their salt to groups of about `group`, each packed alone, longest first. The bins that
-    a group leaves less than `loose` full are opened again and their pieces packed with those of other groups, in 64
-    times fewer groups, so what a group wastes at its end does not add up. A group's memory is bounded by `group`.
+    a group leaves less than `loose` full are opened again and their pieces packed with those of other groups, in as
+    many groups as there are such pieces, so what a group wastes at its end does not add up. Both times a group has about
+    `group` pieces, which bounds its memory.
     """
     pieces = stage(pieces, "pieces")
     n = pieces.count()
@@ -96,5 +97,6 @@ def pack(pieces: DataFrame, capacity: int = 4096, group: int = 8192, loose: floa
     if groups == 1:
         return first.select(*kept)
     full = F.col("fill") >= int(loose * capacity)
-    again = packed(first.where(~full).select("doc_id", "piece", "start", "length", "ids_crc32", "salt"), max(1, groups // 64), 1)
+    rest = first.where(~full).select("doc_id", "piece", "start", "length", "ids_crc32", "salt")
+    again = packed(rest, max(1, -(-rest.count() // group)), 1)
     return first.where(full).select(*kept).unionByName(again.select(*kept))

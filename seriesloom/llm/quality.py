@@ -33,6 +33,9 @@ class Options:
     seed: int = 17
 
 
+_OWN = ("__key", "__fits", "__holds", "__buckets")
+
+
 def features(column: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of each text's lower-case words and pairs of words, text by text, and the start of each text's (and the end)."""
     w = words(column, lower=True)
@@ -109,7 +112,7 @@ def score(rows: DataFrame, ratio: np.ndarray, level: float = 0.0, o: Options = O
     by their length alone. perturbed adds Gumbel noise, which follows from doc_id, text and seed, so equal rows share it
     and a task that runs again draws the same.
     """
-    names, weights = [c for c in rows.columns if not c.startswith("__")], rows.sparkSession.sparkContext.broadcast(ratio - level)
+    names, weights = [c for c in rows.columns if c not in _OWN], rows.sparkSession.sparkContext.broadcast(ratio - level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "__buckets", 8 << 20):

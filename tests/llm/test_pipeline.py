@@ -61,3 +61,32 @@ def test_repeated_rows_keep_one(spark):
     assert got == sorted([(1, "a"), (2, "b"), (None, "c"), (3, "d"), (4, ""), (5, ""), (None, "")], key=str)
     out = corpus_pipeline.repeated_passages(spark, left, SF)
     assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, left.collect()), key=str)
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, kept string, n_words int, perturbed string, mix_pass string, component_id string, n_removed string"
+
+
+def test_stages_take_any_rows(spark):
+    """Nulls in any column, empty and long texts, repeated rows, columns named as the operators' own, an empty table."""
+    more = (None, "s", None, "k", 2, "p", "m", "c", "r")
+    texts = [(1, "a b c d"), (1, "a b c d"), (2, None), (2, None), (3, ""), (4, " \t\n "), (None, "e f g"), (None, None), (6, " ".join(f"w{i}" for i in range(40_000)))]
+    df = spark.createDataFrame([(d, t, *more) for d, t in texts] + [(7, "x y", *[None] * 9)], CLASHING).repartition(3)
+    left = {"near_duplicates": 8, "repeated_passages": 10, "mixing": None, "packing": None, "quality": None}
+    for name, f in corpus_pipeline.STAGES:
+        out, none = f(spark, df, SF), f(spark, df.limit(0), SF)
+        assert none.count() == 0 and (name == "packing" or out.columns == none.columns == df.columns)
+        rows = out.collect()
+        if left[name]:
+            assert len(rows) == left[name]
+        if name in ("mixing", "packing"):
+            assert {r["doc_id"] for r in rows} == {d for d, _ in texts} | {7}
+        if name not in ("packing", "repeated_passages"):
+            assert all((r["kept"], r["perturbed"], r["mix_pass"]) == ((None,) * 3 if r["doc_id"] == 7 else ("k", "p", "m")) for r in rows)
+
+
+def test_passages_of_repeated_rows(spark):
+    """What the stage before leaves of repeated rows passes whole."""
+    text = " ".join(f"t{i}" for i in range(90))
+    df = spark.createDataFrame([(1, text), (1, text), (2, "other words")], "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    left = stage(corpus_pipeline.near_duplicates(spark, df, SF), "left")
+    assert sorted(map(tuple, corpus_pipeline.repeated_passages(spark, left, SF).collect())) == [(1, text, len(text)), (2, "other words", 11)]
