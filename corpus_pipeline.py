@@ -9,32 +9,66 @@ from seriesloom.llm import jaccard_join, mixing, packing, quality, queries, subs
 from seriesloom.llm.common import ship, stage, table
 
 
+def carried(docs: DataFrame, *own: str) -> DataFrame:
+    """The columns that an operator reads and the others in one, where no name of the operator's can replace them."""
+    others = [c for c in docs.columns if c not in own]
+    return docs.select(*own, *([F.struct(*others).alias("carried")] if others else []))
+
+
+def restored(out: DataFrame, docs: DataFrame, *own: str) -> DataFrame:
+    return out.select(*[F.col(c) if c in own else F.col("carried")[c].alias(c) for c in docs.columns])
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling rejects go."""
-    return quality.resample(docs, table(spark, sf_dir, "labels")).select(*docs.columns)
+    """Documents that importance resampling rejects go.
+
+    Null and empty texts weigh nothing and are drawn by their noise; repeated rows share theirs, so they stay or go
+    together, as rows that tie at the last place do; without labels all stay; an empty table stays empty; other columns
+    pass, whatever their names.
+    """
+    own = ["doc_id", "text"]
+    return restored(quality.resample(carried(docs, *own), table(spark, sf_dir, "labels")), docs, *own)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that links join, one row of the smallest doc_id stays: five words, a similarity of 0.8."""
+    """Of each group of documents that links join, one row of the smallest doc_id stays: five words, a similarity of 0.8.
+
+    Null doc_ids come last and ties go to the row read first, so of repeated rows one stays. Texts that are null or hold
+    no word link with nothing; only equal ones of one doc_id are one. Other columns pass; an empty table stays empty.
+    """
     ship(spark)
     return jaccard_join.one_of_each(docs, jaccard_join.Options(n=5, at=80))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words in windows that occur again go; a text that loses some is its other words, joined by spaces; one that loses all goes."""
+    """Words in windows that occur again go; a text that loses some is its other words, joined by spaces; one that loses all goes.
+
+    Texts that are null or shorter than a window stay as they are. Rows that repeat would lose all windows to each other:
+    the stage before leaves one. n_chars is counted anew; other columns pass; an empty table stays empty.
+    """
     ship(spark)
-    cut = substring_dedup.remove_repeats(docs).where("n_removed = 0 or n_removed < n_words")
+    cut = substring_dedup.remove_repeats(carried(docs, "text")).where("n_removed = 0 or n_removed < n_words")
     cut = cut.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return restored(cut.withColumn("n_chars", F.length("text").cast("long")), docs, "text", "n_chars")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every source at least once, small ones up to one and a half times."""
+    """Every source at least once, small ones up to one and a half times.
+
+    A null source is one of its own; null texts have no tokens and are drawn with their block; repeated rows are drawn
+    alike; other columns pass; an empty table stays empty.
+    """
     ship(spark)
-    return mixing.mix_sources(docs, mixing.Options(repetition=1.5)).select(*docs.columns)
+    own = ["doc_id", "text", "source"]
+    return restored(mixing.mix_sources(carried(docs, *own), mixing.Options(repetition=1.5)), docs, *own)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 4096 tokens, a row a piece: the stage's own columns.
+
+    Null texts are empty (their end id alone); repeated rows and null doc_ids have pieces of their own; ties in length go
+    by doc_id, piece and place in the table; other columns are ignored; an empty table gives no pieces.
+    """
     ship(spark)
     return packing.pack(packing.token_pieces(docs, queries.tokenizer_path("word_bpe_49k.json")))
 
