@@ -40,7 +40,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts the lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/stage/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged.staged_path = path
+    return staged
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete staged tables that nothing will read again."""
+    for df in staged:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Names of the two hashes that tell rows apart.
+KEYS = ("__k1", "__k2")
 
 
 def row_key() -> F.Column:
@@ -48,9 +62,9 @@ def row_key() -> F.Column:
     return F.xxhash64("doc_id", "text")
 
 
-def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """docs as a staged table with __row, a number of each row's own, so that repeated rows and null ids stay apart."""
-    return stage(docs.withColumn("__row", F.monotonically_increasing_id()), name)
+def row_keys() -> list[F.Column]:
+    """128 bits of doc_id and text, each hash over them in another order. Equal rows share them: they fare alike."""
+    return [row_key().alias(KEYS[0]), F.xxhash64(F.lit(7), "text", "doc_id").alias(KEYS[1])]
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import discard, stage
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,14 +16,17 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = stage(both, "edges")
-    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("component")), "labels")
+    first = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b"))
+    last = stage(first.select("node", F.least("node", "b").alias("component")), "labels")
     while True:
+        labels = last.select("node", "component")
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
         nearer = labels.join(near, labels["node"] == near["a"]).select("node", F.least("component", "near").alias("component"), F.col("component").alias("old"))
         # the label's own label; a node's label is a node
         via = nearer.select(F.col("node").alias("__node"), F.col("component").alias("via"))
         jumped = nearer.join(via, nearer["component"] == via["__node"]).select("node", F.least("component", "via").alias("component"), (F.least("component", "via") != F.col("old")).alias("changed"))
-        jumped = stage(jumped, "labels")
-        labels = jumped.select("node", "component")
-        if jumped.where("changed").isEmpty():
-            return labels
+        before, last = last, stage(jumped, "labels")
+        discard(before)
+        if last.where("changed").isEmpty():
+            discard(both)
+            return last.select("node", "component")

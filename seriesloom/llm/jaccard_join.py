@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import numbered, split_join, stage, text_slices
+from .common import KEYS, discard, row_keys, split_join, stage, text_slices
 from .components import components
 from .words import Spans, gram_starts, mix, words
 
@@ -47,7 +47,7 @@ class Options:
     at: int = 90
     of: int = 100
     growth: float = 2.0
-    match: float = 0.01
+    match: float = 0.001
     block: int = 1_000_000
     small: int = 8
     rounds: int = 2
@@ -319,7 +319,7 @@ def _block_links(pdf: pd.DataFrame, o: Options) -> pd.DataFrame:
 
 
 def set_components(rows: DataFrame, o: Options = Options()) -> tuple[DataFrame, DataFrame]:
-    """(__row, n_shingles, set_id) of each of rows (__row, text) and (node, component) of the sets that link to others.
+    """(KEYS, n_shingles, set_id) of each of rows (KEYS, text) and (node, component) of the sets that link to others.
 
     Equal sets are one, told apart by two hashes. First each set of an index entry is compared with the entry's smallest;
     in `rounds` more, each set with one of another component that leads one of its entries. Entries that still hold
@@ -327,15 +327,16 @@ def set_components(rows: DataFrame, o: Options = Options()) -> tuple[DataFrame,
     else in blocks inside a task. So groups of copies cost little more than their number, and no link between components
     is missed. Links are verified on the words of both texts.
     """
-    keyed, edges = rows.select("__row", "text"), bands(o)
+    keyed, edges = rows.select(*KEYS, "text"), bands(o)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            token, ptr, second = shingle_sets(batch.column(1), o.n)
+            token, ptr, second = shingle_sets(batch.column(2), o.n)
             a, b = _set_hashes(token, ptr, second)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ptr)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["__row", "n_shingles", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.diff(ptr)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=[*KEYS, "n_shingles", "h1", "h2"])
 
-    members = stage(keyed.mapInArrow(describe, "__row long, n_shingles long, h1 long, h2 long"), "members")
+    members = keyed.mapInArrow(describe, "__k1 long, __k2 long, n_shingles long, h1 long, h2 long")
+    members = stage(members.groupBy(*members.columns).agg(F.count("*").alias("copies")).drop("copies"), "members")
     # first hashes of different sets: of n sets about n * n / 2**65, so none below billions and a few thousand at a trillion
     clash = members.groupBy("h1").agg(F.min("h2").alias("lo"), F.max("h2").alias("hi")).where("lo != hi").select("h1")
     shared = np.array(sorted(r["h1"] for r in clash.collect()), np.int64).view(np.uint64)
@@ -345,13 +346,13 @@ def set_components(rows: DataFrame, o: Options = Options()) -> tuple[DataFrame,
 
         def rehash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                a, b = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for i in (2, 3))
-                one = np.where(batch.column(4).is_valid().to_numpy(zero_copy_only=False), mix(a ^ mix(b)), a)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(one.view(np.int64))], names=["__row", "n_shingles", "set_id"])
+                a, b = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for i in (3, 4))
+                one = np.where(batch.column(5).is_valid().to_numpy(zero_copy_only=False), mix(a ^ mix(b)), a)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(one.view(np.int64))], names=[*KEYS, "n_shingles", "set_id"])
 
-        members = members.join(listed, "h1", "left").select("__row", "n_shingles", "h1", "h2", "both").mapInArrow(rehash, "__row long, n_shingles long, set_id long")
+        members = members.join(listed, "h1", "left").select(*KEYS, "n_shingles", "h1", "h2", "both").mapInArrow(rehash, "__k1 long, __k2 long, n_shingles long, set_id long")
     else:
-        members = members.select("__row", "n_shingles", F.col("h1").alias("set_id"))
+        members = members.select(*KEYS, "n_shingles", F.col("h1").alias("set_id"))
     # a row a band; log keeps the band's number near, the exact one is found from a size in it
     sizes = members.where("n_shingles > 0").groupBy(F.floor(F.log2("n_shingles") * 16).alias("x")).agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"), F.count("*").alias("n")).collect()
     counts: dict[int, int] = {}
@@ -364,7 +365,7 @@ def set_components(rows: DataFrame, o: Options = Options()) -> tuple[DataFrame,
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in text_slices(batches):
-            token, ptr, second = shingle_sets(batch.column(1), o.n)
+            token, ptr, second = shingle_sets(batch.column(0), o.n)
             ids = _set_ids(token, ptr, second, shared)
             sig, of = _signatures(token, ptr, plan, edges, o)
             fresh = np.zeros(len(ids), bool)
@@ -377,14 +378,17 @@ def set_components(rows: DataFrame, o: Options = Options()) -> tuple[DataFrame,
             use = fresh[of]
             yield pa.RecordBatch.from_arrays([pa.array(sig[use].view(np.int64)), pa.array(ids[of[use]])], names=["sig", "set_id"])
 
-    entries = keyed.mapInArrow(index, "sig long, set_id long")
-    # counted before the join, which splits hot entries
-    shared_sigs = entries.groupBy("sig").agg(F.min("set_id").alias("leader"), F.max("set_id").alias("last")).where("leader != last")
-    entries = stage(split_join(entries, shared_sigs.drop("last"), "sig").distinct(), "entries")
+    entries = keyed.select("text").mapInArrow(index, "sig long, set_id long")
+    # counted before the joins, which split hot entries; most signatures are of one row and go at once
+    several = entries.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig")
+    found = stage(split_join(entries, several, "sig").distinct(), "found")
+    leaders = found.groupBy("sig").agg(F.min("set_id").alias("leader"), F.max("set_id").alias("last")).where("leader != last")
+    entries = stage(split_join(found, leaders.drop("last"), "sig"), "entries")
+    discard(found)
 
     candidates = entries.select("set_id").distinct()
-    first = members.where("n_shingles > 0").groupBy("set_id").agg(F.min("__row").alias("__row"))
-    wanted = first.join(candidates, "set_id", "left_semi")
+    first = members.where("n_shingles > 0").groupBy("set_id").agg(F.min(F.struct(*KEYS)).alias("first"))
+    wanted = first.join(candidates, "set_id", "left_semi").select("set_id", *[F.col("first")[k].alias(k) for k in KEYS])
 
     def describe_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
@@ -392,7 +396,9 @@ def set_components(rows: DataFrame, o: Options = Options()) -> tuple[DataFrame,
             sketches = [_sketch(token[a:b]) for a, b in zip(ptr[:-1].tolist(), ptr[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.diff(ptr)), batch.column(0), pa.array(sketches, pa.binary())], names=["set_id", "n", "text", "sketch"])
 
-    sets = stage(keyed.join(wanted, "__row").select("text", "set_id").mapInArrow(describe_sets, "set_id long, n long, text string, sketch binary"), "sets")
+    sets = split_join(keyed, wanted, *KEYS).select("text", "set_id").mapInArrow(describe_sets, "set_id long, n long, text string, sketch binary")
+    # rows that repeat have the same keys
+    sets = stage(sets.dropDuplicates(["set_id"]), "sets")
 
     links = _links(entries.where("set_id != leader").select(F.col("set_id").alias("a"), F.col("leader").alias("b")).distinct(), sets, o)
     labels = components(links)
@@ -432,17 +438,18 @@ def set_components(rows: DataFrame, o: Options = Options()) -> tuple[DataFrame,
     shipped = blocks.join(chunked, ["sig", "chunk"]).join(sets.select("set_id", "text"), "set_id").select("sig", "i", "j", "set_id", "component", "text")
     blocked = shipped.groupBy("sig", "i", "j").applyInPandas(lambda pdf: _block_links(pdf, o), "a long, b long")
     more = _links(pairs.distinct(), sets, o).unionByName(stage(blocked, "links"))
-    if more.isEmpty():
-        return members, labels
-    return members, components(links.unionByName(more))
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
+    discard(entries, sets, open_sets, ranged, chunked)
+    return members, labels
 
 
 def _classes(rows: DataFrame, o: Options) -> DataFrame:
-    """__row, n_shingles and __class of each of rows: a class's name, or for rows without words the row's own."""
+    """KEYS, n_shingles and __class of each different row: a class's name, or null for rows without words."""
     members, labels = set_components(rows, o)
     named = members.where("n_shingles > 0").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
-    named = named.select("__row", "n_shingles", F.coalesce("component", "set_id").alias("__class"))
-    return named.unionByName(members.where("n_shingles = 0").select("__row", "n_shingles", F.lit(None).cast("long").alias("__class")))
+    named = named.select(*KEYS, "n_shingles", F.coalesce("component", "set_id").alias("__class"))
+    return named.unionByName(members.where("n_shingles = 0").select(*KEYS, "n_shingles", F.lit(None).cast("long").alias("__class")))
 
 
 def jaccard_components(docs: DataFrame, o: Options = Options()) -> DataFrame:
@@ -453,26 +460,31 @@ def jaccard_components(docs: DataFrame, o: Options = Options()) -> DataFrame:
     replaced; an empty table gives an empty one.
     """
     docs = docs.drop("n_shingles", "component_id")
-    rows = numbered(docs, "documents")
-    labelled = rows.select("__row", "doc_id").join(_classes(rows, o), "__row")
-    labelled = stage(labelled, "classes")
-    smallest = labelled.where("__class is not null").groupBy("__class").agg(F.min("doc_id").alias("__smallest"))
-    known = split_join(labelled.drop("doc_id"), smallest, "__class", how="left").select("__row", "n_shingles", "__smallest")
-    return rows.join(known, "__row").withColumn("component_id", F.coalesce("__smallest", "doc_id")).select(*docs.columns, "n_shingles", "component_id")
+    rows = docs.select("*", *row_keys())
+    classes = stage(_classes(rows, o), "classes")
+    ids = rows.select("doc_id", *KEYS).groupBy("doc_id", *KEYS).agg(F.count("*").alias("n"))
+    smallest = ids.join(classes.where("__class is not null"), list(KEYS)).groupBy("__class").agg(F.min("doc_id").alias("__smallest"))
+    known = split_join(classes, smallest, "__class", how="left").select(*KEYS, "n_shingles", "__smallest")
+    joined = split_join(rows, known, *KEYS).withColumn("component_id", F.coalesce("__smallest", "doc_id"))
+    return joined.select(*docs.columns, "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame, o: Options = Options()) -> DataFrame:
-    """One row of each class: of the smallest doc_id, null ones last, then the first of the table as it was read.
+    """One row of each class: of the smallest doc_id, null ones last, then the smallest hashes of text and other columns.
 
     Rows that repeat are one class, so one of them stays; rows without words link with nothing else. Columns pass.
     """
-    rows = numbered(docs, "documents")
-    keyed = rows.select("__row", "doc_id", F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2"))
-    labelled = keyed.join(_classes(rows, o), "__row")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select("*", *row_keys(), (F.xxhash64(*others) if others else F.lit(0).cast("long")).alias("__other"))
+    key = [*KEYS, "__other"]
+    ids = rows.select("doc_id", *key).groupBy("doc_id", *key).agg(F.count("*").alias("n"))
     # rows without words are told apart by doc_id and text
-    alone = [F.when(F.col("__class").isNull(), F.col(c)).alias(f"__{c}") for c in ("doc_id", "t1", "t2")]
-    chosen = labelled.groupBy("__class", *alone).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"].alias("__row"))
-    return rows.join(chosen.select("__row"), "__row", "left_semi").select(*docs.columns)
+    alone = [F.when(F.col("__class").isNull(), F.col(k)).alias(f"{k}_alone") for k in KEYS]
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *key, "n"))
+    chosen = ids.join(_classes(rows, o), list(KEYS)).groupBy("__class", *alone).agg(least.alias("x"))
+    chosen = stage(chosen.select(*[F.col("x")[k].alias(k) for k in [*key, "n"]]), "chosen")
+    one, several = (split_join(rows, chosen.where(x).drop("n"), *key) for x in ("n = 1", "n > 1"))
+    return one.unionByName(several.dropDuplicates(key)).select(*docs.columns)
 
 
 ORACLE = r"""

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kth_largest, row_key, stage, text_slices
+from .common import discard, kth_largest, row_key, stage, text_slices
 from .words import Spans, gram_starts, mix, words
 
 
@@ -33,65 +33,43 @@ class Options:
     seed: int = 17
 
 
-_OWN = ("__key", "__fits", "__holds", "__buckets")
-
-
-def features(column: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of each text's lower-case words and pairs of words, text by text, and the start of each text's (and the end)."""
+def features(column: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket and text of each lower-case word and pair of words; n-grams of each text."""
     w = words(column, lower=True)
     start, text = gram_starts(w.ptr, 2)
     pairs = Spans(w.hash).of(start, 2)
-    bucket = np.concatenate((w.hash % np.uint64(buckets), pairs % np.uint64(buckets) + np.uint64(buckets))).astype(np.uint32)
+    bucket = np.concatenate((w.hash % np.uint64(buckets), pairs % np.uint64(buckets) + np.uint64(buckets))).astype(np.int64)
     of = np.concatenate((np.repeat(np.arange(len(column)), np.diff(w.ptr)), text))
-    return bucket[np.argsort(of, kind="stable")], np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(column)))))
+    return bucket, of, np.bincount(of, minlength=len(column))
 
 
-def featured(docs: DataFrame, labels: DataFrame, o: Options = Options()) -> DataFrame:
-    """docs as a staged table with __buckets (binary, 4 bytes an n-gram), __fits and __holds: the only time that words are cut.
-
-    Labelled rows of quality 1 fit the target in one half and hold for calibration in the other. Labels that are null or
-    disagree about a document count by their highest quality.
-    """
+def flagged(docs: DataFrame, labels: DataFrame, o: Options = Options()) -> DataFrame:
+    """(doc_id, text, fits, holds): labelled rows of quality 1 fit the target in one half and hold for calibration in the
+    other. Labels that are null or disagree about a document count by their highest quality."""
     picked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     picked = picked.withColumn("half", F.xxhash64("doc_id", F.lit(o.seed)))
     # bounded by o.labelled, so small enough to send to every task
-    chosen = picked.orderBy("half", "doc_id").limit(o.labelled).where("quality = 1").select(F.col("doc_id").alias("__id"), (F.col("half") % 2 == 0).alias("__half"))
-    flagged = docs.join(F.broadcast(stage(chosen, "labelled")), F.col("doc_id") == F.col("__id"), "left")
-    flagged = flagged.select(*docs.columns, row_key().alias("__key"), F.coalesce("__half", F.lit(False)).alias("__fits"), F.coalesce(~F.col("__half"), F.lit(False)).alias("__holds"))
-    names = flagged.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
-            bucket, ptr = features(batch.column(names.index("text")), o.buckets)
-            cells = [bucket[a:b].tobytes() for a, b in zip(ptr[:-1].tolist(), ptr[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.binary())], names=[*names, "__buckets"])
-
-    return stage(flagged.mapInArrow(run, flagged.schema.simpleString()[7:-1] + ",__buckets:binary"), "features")
-
-
-def _buckets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All buckets of a column, the row of each, and each row's number."""
-    cells = [np.frombuffer(x.as_buffer(), np.uint32) if x.is_valid else np.zeros(0, np.uint32) for x in column]
-    n = np.array([len(x) for x in cells], np.int64)
-    return np.concatenate([*cells, np.zeros(0, np.uint32)]), np.repeat(np.arange(len(cells)), n), n
+    chosen = picked.orderBy("half", "doc_id").limit(o.labelled).where("quality = 1").select("doc_id", (F.col("half") % 2 == 0).alias("half"))
+    joined = docs.select("doc_id", "text").join(F.broadcast(stage(chosen, "labelled")), "doc_id", "left")
+    return joined.select("doc_id", "text", F.coalesce("half", F.lit(False)).alias("fits"), F.coalesce(~F.col("half"), F.lit(False)).alias("holds"))
 
 
 def log_ratios(rows: DataFrame, o: Options = Options()) -> np.ndarray:
-    """Log of target over raw frequency of each bucket of rows (__buckets, __fits); 0 without target rows.
+    """Log of target over raw frequency of each bucket of rows (text, fits); 0 without target rows.
 
     The target's counts are smoothed by the raw model.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(2 * o.buckets, np.int64), np.zeros(2 * o.buckets, np.int64)
-        for batch in text_slices(batches, "__buckets", 8 << 20):
-            bucket, of, _ = _buckets(batch.column(0))
+        for batch in text_slices(batches):
+            bucket, of, _ = features(batch.column(0), o.buckets)
             raw += np.bincount(bucket, minlength=len(raw))
             target += np.bincount(bucket[batch.column(1).to_numpy(zero_copy_only=False).astype(bool)[of]], minlength=len(raw))
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
 
-    counted = rows.select("__buckets", "__fits").mapInArrow(count, "bucket long, raw long, target long")
+    counted = rows.select("text", "fits").mapInArrow(count, "bucket long, raw long, target long")
     # 2 * buckets rows at most reach the driver
     found = np.array([tuple(r) for r in counted.groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()], np.int64).reshape(-1, 3)
     raw, target = np.zeros(2 * o.buckets), np.zeros(2 * o.buckets)
@@ -105,27 +83,27 @@ def log_ratios(rows: DataFrame, o: Options = Options()) -> np.ndarray:
     return ratio
 
 
-def score(rows: DataFrame, ratio: np.ndarray, level: float = 0.0, o: Options = Options()) -> DataFrame:
-    """rows (of `featured`) with n_grams, log_weight and perturbed in place of the columns from __key on.
+def score(docs: DataFrame, ratio: np.ndarray, level: float = 0.0, o: Options = Options()) -> DataFrame:
+    """docs with n_grams, log_weight and perturbed.
 
     log_weight is the sum over n-grams of log ratio less `level`: without the correction long texts would win or lose
     by their length alone. perturbed adds Gumbel noise, which follows from doc_id, text and seed, so equal rows share it
     and a task that runs again draws the same.
     """
-    names, weights = [c for c in rows.columns if c not in _OWN], rows.sparkSession.sparkContext.broadcast(ratio - level)
+    docs = docs.drop("n_grams", "log_weight", "perturbed")
+    names, weights = docs.columns, docs.sparkSession.sparkContext.broadcast(ratio - level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "__buckets", 8 << 20):
-            bucket, of, n = _buckets(batch.column(len(names)))
-            total = np.bincount(of, weights=weights.value[bucket], minlength=len(n))
-            drawn = mix(batch.column(len(names) + 1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) + np.uint64(o.seed))
+        for batch in text_slices(batches):
+            bucket, of, n = features(batch.column(names.index("text")), o.buckets)
+            total = np.bincount(of, weights=weights.value[bucket], minlength=len(n)).astype(np.float64)
+            drawn = mix(batch.column(len(names)).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) + np.uint64(o.seed))
             uniform = ((drawn >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
             noisy = total - o.temperature * np.log(-np.log(uniform))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(n), pa.array(total), pa.array(noisy)], names=[*names, "n_grams", "log_weight", "perturbed"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n), pa.array(total), pa.array(noisy)], names=[*names, "n_grams", "log_weight", "perturbed"])
 
-    kept = rows.select(*names, "__buckets", "__key")
-    schema = rows.select(*names).schema.simpleString()[7:-1]
-    return kept.mapInArrow(run, f"{schema}{',' if schema else ''}n_grams:bigint,log_weight:double,perturbed:double")
+    schema = docs.schema.simpleString()[7:-1]
+    return docs.withColumn("__key", row_key()).mapInArrow(run, f"{schema},n_grams:bigint,log_weight:double,perturbed:double")
 
 
 def resample(docs: DataFrame, labels: DataFrame, o: Options = Options()) -> DataFrame:
@@ -135,14 +113,15 @@ def resample(docs: DataFrame, labels: DataFrame, o: Options = Options()) -> Data
     any). The k largest perturbed log weights are drawn, which is sampling without replacement in proportion to
     exp(log_weight / temperature): where n-grams say much the weight decides, for short or ambiguous texts the draw.
     Rows that tie at the k-th value are all drawn. Null text is empty (weight 0); an empty table gives an empty sample; a
-    column of docs with the name of a new one is replaced.
+    column of docs with the name of a new one is replaced. Words are cut anew in each of three passes: their buckets, kept
+    as a table, take twice the disk of the compressed input.
     """
-    docs = docs.drop("n_grams", "log_weight", "perturbed")
-    rows = featured(docs, labels, o)
+    rows = flagged(docs, labels, o)
     ratio = log_ratios(rows, o)
-    held = score(rows.where("__holds").select("__buckets", "__key"), ratio, 0.0, o).where("n_grams > 0")
+    held = score(rows.where("holds"), ratio, 0.0, o).where("n_grams > 0")
     level = held.agg(F.percentile(F.col("log_weight") / F.col("n_grams"), 1 - o.keep)).first()[0] or 0.0
-    scores = stage(score(rows.select("__buckets", "__key"), ratio, level, o), "scores")
+    scores = stage(score(docs.select("doc_id", "text"), ratio, level, o).select("log_weight", "perturbed"), "scores")
     k = scores.where("log_weight >= 0").count() if o.sample is None else o.sample
     last = kth_largest(scores, "perturbed", k)
-    return score(rows, ratio, level, o).where(F.col("perturbed") >= (float("inf") if last is None else last))
+    discard(scores)
+    return score(docs, ratio, level, o).where(F.col("perturbed") >= (float("inf") if last is None else last))

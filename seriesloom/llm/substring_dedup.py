@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, split_join, text_slices
+from .common import KEYS, row_keys, split_join, text_slices
 from .words import Spans, Words, gram_starts, mix, words
 
 _PLACE = np.uint64((1 << 30) - 1)
@@ -80,41 +80,41 @@ def _factors(w: Words, lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def matched_runs(rows: DataFrame, window: int = 35, k: int = 12) -> DataFrame:
-    """(__row, runs): for rows (__row, text) with any, all runs of windows that occur again somewhere, packed.
+    """(KEYS, runs): for rows (KEYS, text) with any, all runs of windows that occur again somewhere, packed.
 
     Shuffled are one row for each segment (about one in 12 words), the text once by row, and one row for each window of
-    blocks that hold different segments. Counts are partial before each shuffle and hot keys are joined, so one passage
-    in every document splits well; a row's runs are at most its windows, however often they occur elsewhere.
+    blocks that hold different segments. Counts and sets are partial before each shuffle and hot keys are joined, so one
+    passage in every document splits well; a row's runs are at most its windows, however often they or it occur.
     """
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            w = words(batch.column(1))
+            w = words(batch.column(2))
             begin, count, text, anchor, content = segments(w, window, k)
-            at = ((begin - w.ptr[text]) << _SHIFT) | count
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), batch.column(0).take(pa.array(text)), pa.array(at)], names=["anchor", "content", "__row", "at"])
+            at, of = ((begin - w.ptr[text]) << _SHIFT) | count, pa.array(text)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), batch.column(0).take(of), batch.column(1).take(of), pa.array(at)], names=["anchor", "content", *KEYS, "at"])
 
-    places = rows.select("__row", "text").mapInArrow(anchors, "anchor long, content long, __row long, at long")
+    places = rows.select(*KEYS, "text").mapInArrow(anchors, "anchor long, content long, __k1 long, __k2 long, at long")
     blocks = places.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high")).where("n > 1")
     matched = split_join(places, blocks.select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "anchor")
-    whole = matched.where("not mixed").select("__row", "at")
-    ends = matched.where("mixed").groupBy("__row").agg(F.collect_list("at").alias("ends"))
+    whole = matched.where("not mixed").select(*KEYS, "at")
+    ends = matched.where("mixed").groupBy(*KEYS).agg(F.collect_set("at").alias("ends"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            w, lists = words(batch.column(1)), batch.column(2)
+            w, lists = words(batch.column(2)), batch.column(3)
             n = np.array([len(x) for x in lists], np.int64)
             at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             text, start, count = np.repeat(np.arange(len(n)), n), at >> _SHIFT, at & ((1 << _SHIFT) - 1)
             first = np.repeat(start, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
             text = np.repeat(text, count)
-            here = first + w.ptr[text]
-            yield pa.RecordBatch.from_arrays([pa.array(Spans(w.hash).of(here, window).view(np.int64)), pa.array(Spans(w.second, 1).of(here, window).view(np.int64)), batch.column(0).take(pa.array(text)), pa.array((first << _SHIFT) | 1)], names=["h1", "h2", "__row", "at"])
+            here, of = first + w.ptr[text], pa.array(text)
+            yield pa.RecordBatch.from_arrays([pa.array(Spans(w.hash).of(here, window).view(np.int64)), pa.array(Spans(w.second, 1).of(here, window).view(np.int64)), batch.column(0).take(of), batch.column(1).take(of), pa.array((first << _SHIFT) | 1)], names=["h1", "h2", *KEYS, "at"])
 
-    single = rows.select("__row", "text").join(ends, "__row").select("__row", "text", "ends").mapInArrow(windows, "h1 long, h2 long, __row long, at long")
+    single = split_join(rows.select(*KEYS, "text"), ends, *KEYS).select(*KEYS, "text", "ends").mapInArrow(windows, "h1 long, h2 long, __k1 long, __k2 long, at long")
     again = single.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    found = split_join(single, again, "h1", "h2").select("__row", "at")
-    return whole.unionByName(found).groupBy("__row").agg(F.collect_list("at").alias("runs"))
+    found = split_join(single, again, "h1", "h2").select(*KEYS, "at")
+    return whole.unionByName(found).groupBy(*KEYS).agg(F.collect_set("at").alias("runs"))
 
 
 def factors(docs: DataFrame, window: int = 35, k: int = 12) -> DataFrame:
@@ -122,7 +122,7 @@ def factors(docs: DataFrame, window: int = 35, k: int = 12) -> DataFrame:
 
     Factors of one document may overlap by less than a window. Repeated rows have factors each.
     """
-    rows = numbered(docs.select("doc_id", "text"), "substrings")
+    rows = docs.select("doc_id", "text", *row_keys())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
@@ -131,7 +131,7 @@ def factors(docs: DataFrame, window: int = 35, k: int = 12) -> DataFrame:
             text = np.searchsorted(w.ptr, start, "right") - 1
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(start - w.ptr[text]), pa.array(count + window - 1)], names=["doc_id", "start", "length"])
 
-    return rows.join(matched_runs(rows, window, k), "__row").select("doc_id", "text", "runs").mapInArrow(run, "doc_id long, start long, length long")
+    return split_join(rows, matched_runs(rows, window, k), *KEYS).select("doc_id", "text", "runs").mapInArrow(run, "doc_id long, start long, length long")
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, k: int = 12) -> DataFrame:
@@ -144,8 +144,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, k: int = 12) -> DataFrame:
     """
     docs = docs.drop("n_words", "n_removed", "kept")
     rest = [c for c in docs.columns if c != "text"]
-    others = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]) if rest else F.lit(None).cast("int")
-    rows = numbered(docs.select("text", others.alias("__rest")), "substrings")
+    others = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)])
+    rows = docs.select("text", others.alias("__rest"), *row_keys())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
@@ -171,7 +171,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, k: int = 12) -> DataFrame:
             n_words = np.diff(w.ptr)
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array(n_words), pa.array(n_words - n_kept), kept], names=["__rest", "text", "n_words", "n_removed", "kept"])
 
-    joined = rows.join(matched_runs(rows, window, k), "__row", "left").select("text", "runs", "__rest")
+    joined = split_join(rows, matched_runs(rows, window, k), *KEYS, how="left").select("text", "runs", "__rest")
     kind = joined.select("__rest").schema.simpleString()[7:-1]
     done = joined.mapInArrow(cut, f"{kind},text:string,n_words:bigint,n_removed:bigint,kept:string")
     columns = {c: F.col(f"__rest.c{i}").alias(c) for i, c in enumerate(rest)}

@@ -54,16 +54,16 @@ def test_ratios_and_draw_by_brute_force(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     labels = spark.createDataFrame([(i, i % 2) for i in range(0, 400, 3)], "doc_id long, quality int")
     o = quality.Options(buckets=1 << 12, smoothing=50.0)
-    staged = quality.featured(docs, labels, o)
-    fits = {r["doc_id"] for r in staged.where("__fits").collect()}
-    holds = {r["doc_id"] for r in staged.where("__holds").collect()}
+    rows_ = quality.flagged(docs, labels, o)
+    fits = {r["doc_id"] for r in rows_.where("fits").collect()}
+    holds = {r["doc_id"] for r in rows_.where("holds").collect()}
     assert fits | holds == {i for i in range(0, 400, 3) if i % 2} and not fits & holds
     bucket = {}
     for d, text in rows:
-        got, ptr = quality.features(pa.array([text]), o.buckets)
+        got, _, grams = quality.features(pa.array([text]), o.buckets)
         bucket[d] = got.tolist()
         n = len(text.split())
-        assert len(got) == ptr[-1] == max(0, 2 * n - 1) and sum(b < o.buckets for b in bucket[d]) == n
+        assert len(got) == grams[0] == max(0, 2 * n - 1) and sum(b < o.buckets for b in bucket[d]) == n
     raw = collections.Counter(b for d, _ in rows for b in bucket[d])
     target = collections.Counter(b for d in fits for b in bucket[d])
     ratio = {}
@@ -76,7 +76,7 @@ def test_ratios_and_draw_by_brute_force(spark):
     means = [sum(ratio[b] for b in bucket[d]) / len(bucket[d]) for d in holds if bucket[d]]
     level = float(np.percentile(means, 100 * (1 - o.keep)))
     weight = {d: sum(ratio[b] - level for b in bucket[d]) for d, _ in rows}
-    everyone = quality.score(staged, quality.log_ratios(staged, o), level, o).collect()
+    everyone = quality.score(docs, quality.log_ratios(rows_, o), level, o).collect()
     assert {r["doc_id"]: r["log_weight"] for r in everyone} == pytest.approx(weight)
     k = sum(w >= 0 for w in weight.values())
     drawn = sorted(everyone, key=lambda r: -r["perturbed"])[:k]
@@ -88,8 +88,9 @@ def test_ratios_and_draw_by_brute_force(spark):
 
 def test_noise_draws_in_proportion(spark):
     """The first of three by noise alone: shares follow the weights."""
-    df = spark.createDataFrame([(i, np.array([0] * (i % 3), np.uint32).tobytes(), i) for i in range(6000)], "doc_id long, __buckets binary, __key long")
-    rows = quality.score(df, np.full(1, math.log(2.0)), 0.0, quality.Options(buckets=1)).collect()
+    df = spark.createDataFrame([(i, " ".join(["word"] * (i % 3))) for i in range(6000)], "doc_id long, text string")
+    ratio = np.array([math.log(2.0), 0.0])  # of words and of pairs
+    rows = quality.score(df, ratio, 0.0, quality.Options(buckets=1)).collect()
     noisy = {r["doc_id"]: r["perturbed"] for r in rows}
     first = collections.Counter(max(range(i, i + 3), key=noisy.get) % 3 for i in range(0, 6000, 3))
     assert [first[i] / 2000 for i in range(3)] == pytest.approx([1 / 7, 2 / 7, 4 / 7], abs=0.04)
@@ -165,7 +166,7 @@ def test_repeated_rows_cost_their_number(spark):
     text = " ".join(f"w{i}" for i in range(120))
     for n in (200, 400):
         df = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
-        runs = substring_dedup.matched_runs(df.withColumn("__row", F.col("doc_id")))
+        runs = substring_dedup.matched_runs(df.withColumn("__k1", F.col("doc_id")).withColumn("__k2", F.col("doc_id")))
         assert runs.agg(F.sum(F.size("runs"))).first()[0] <= n * (120 - 34)
         assert substring_dedup.remove_repeats(df).where("n_removed = 120").count() == n
 
