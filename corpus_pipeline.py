@@ -47,9 +47,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     the stage before leaves one. n_chars is counted anew; other columns pass; an empty table stays empty.
     """
     ship(spark)
-    cut = substring_dedup.remove_repeats(carried(docs, "text")).where("n_removed = 0 or n_removed < n_words")
+    own = ["doc_id", "text", "n_chars"]
+    cut = substring_dedup.remove_repeats(carried(docs, *own)).where("n_removed = 0 or n_removed < n_words")
     cut = cut.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
-    return restored(cut.withColumn("n_chars", F.length("text").cast("long")), docs, "text", "n_chars")
+    return restored(cut.withColumn("n_chars", F.length("text").cast("long")), docs, *own)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
