@@ -321,8 +321,8 @@ def _block_links(pdf: pd.DataFrame, o: Options) -> pd.DataFrame:
 def set_components(rows: DataFrame, o: Options = Options()) -> tuple[DataFrame, DataFrame]:
     """(KEYS, n_shingles, set_id) of each of rows (KEYS, text) and (node, component) of the sets that link to others.
 
-    Equal sets are one, told apart by two hashes. First each set of an index entry is compared with the entry's smallest;
-    in `rounds` more, each set with one of another component that leads one of its entries. Entries that still hold
+    Equal sets are one, told apart by two hashes. First each set is compared with the smallest of all its index entries,
+    in `rounds` more with one of another component that leads one of its entries. Entries that still hold
     several components are then compared in full, across components only: as pairs if they hold `small` sets at most,
     else in blocks inside a task. So groups of copies cost little more than their number, and no link between components
     is missed. Links are verified on the words of both texts.
@@ -400,7 +400,8 @@ def set_components(rows: DataFrame, o: Options = Options()) -> tuple[DataFrame,
     # rows that repeat have the same keys
     sets = stage(sets.dropDuplicates(["set_id"]), "sets")
 
-    links = _links(entries.where("set_id != leader").select(F.col("set_id").alias("a"), F.col("leader").alias("b")).distinct(), sets, o)
+    # one pair a set at a time, since pairs carry texts
+    links = _links(entries.where("set_id != leader").groupBy(F.col("set_id").alias("a")).agg(F.min("leader").alias("b")), sets, o)
     labels = components(links)
 
     def labelled() -> DataFrame:
