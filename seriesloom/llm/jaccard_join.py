@@ -318,14 +318,33 @@ def _block_links(pdf: pd.DataFrame, o: Options) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
+def _gathered(many: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sig, set_id, component, n) with entries that overlap gathered into one, and the staged table it reads.
+
+    Near copies share most of their entries, so comparing each entry ships every set many times. Entries that a chain of
+    common sets joins are gathered where that costs less: the square of all their tokens against the sum of the squares
+    of each entry's. A gathered entry has the name of its least set.
+    """
+    many = stage(many.select("sig", "set_id", "component", "n"), "many")
+    lead = many.groupBy("sig").agg(F.min("set_id").alias("lead"))
+    chain = split_join(many, lead, "sig").where("set_id != lead").select(F.col("set_id").alias("a"), F.col("lead").alias("b")).distinct()
+    named = components(chain).select(F.col("node").alias("set_id"), F.col("component").alias("all"))
+    named = many.join(named, "set_id", "left").withColumn("all", F.coalesce("all", "set_id"))
+    apart = named.groupBy("all", "sig").agg(F.sum("n").cast("double").alias("w")).groupBy("all").agg(F.sum(F.col("w") * F.col("w")).alias("apart"))
+    at_once = named.select("all", "set_id", "n").distinct().groupBy("all").agg(F.sum("n").cast("double").alias("w"))
+    cheaper = at_once.join(apart, "all").select("all", (F.col("w") * F.col("w") <= F.col("apart")).alias("gather"))
+    keyed = split_join(named, cheaper, "all").withColumn("sig", F.when(F.col("gather"), F.col("all")).otherwise(F.col("sig")))
+    return keyed.select("sig", "set_id", "component", "n").distinct(), many
+
+
 def set_components(rows: DataFrame, o: Options = Options()) -> tuple[DataFrame, DataFrame]:
     """(KEYS, n_shingles, set_id) of each of rows (KEYS, text) and (node, component) of the sets that link to others.
 
     Equal sets are one, told apart by two hashes. First each set is compared with the smallest of all its index entries,
     in `rounds` more with one of another component that leads one of its entries. Entries that still hold
     several components are then compared in full, across components only: as pairs if they hold `small` sets at most,
-    else in blocks inside a task. So groups of copies cost little more than their number, and no link between components
-    is missed. Links are verified on the words of both texts.
+    else, gathered where they overlap, in blocks inside a task. So groups of copies cost little more than their number,
+    and no link between components is missed. Links are verified on the words of both texts.
     """
     keyed, edges = rows.select(*KEYS, "text"), bands(o)
 
@@ -425,7 +444,7 @@ def set_components(rows: DataFrame, o: Options = Options()) -> tuple[DataFrame,
     few = open_sets.where(F.col("held") <= o.small).drop("held")
     pairs = few.alias("l").join(few.alias("r"), F.expr("l.sig = r.sig and l.component < r.component"))
     pairs = pairs.select(F.least("l.set_id", "r.set_id").alias("a"), F.greatest("l.set_id", "r.set_id").alias("b"))
-    many = open_sets.where(F.col("held") > o.small).join(sets.select("set_id", "n"), "set_id")
+    many, whole = _gathered(open_sets.where(F.col("held") > o.small).drop("held").join(sets.select("set_id", "n"), "set_id"))
     # ranges deal a hot entry over tasks, components in order; a chunk is a stretch of an entry in one range
     ranged = many.repartitionByRange("sig", "component", "set_id").withColumn("range", F.spark_partition_id().cast("long"))
     ranged = stage(ranged.select("sig", "set_id", "component", "n", "range"), "ranges")
@@ -441,7 +460,7 @@ def set_components(rows: DataFrame, o: Options = Options()) -> tuple[DataFrame,
     more = _links(pairs.distinct(), sets, o).unionByName(stage(blocked, "links"))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
-    discard(entries, sets, open_sets, ranged, chunked)
+    discard(entries, sets, open_sets, whole, ranged, chunked)
     return members, labels
 
 
