@@ -27,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import KEYS, discard, row_keys, split_join, stage, text_slices
@@ -445,12 +445,10 @@ def set_components(rows: DataFrame, o: Options = Options()) -> tuple[DataFrame,
     pairs = few.alias("l").join(few.alias("r"), F.expr("l.sig = r.sig and l.component < r.component"))
     pairs = pairs.select(F.least("l.set_id", "r.set_id").alias("a"), F.greatest("l.set_id", "r.set_id").alias("b"))
     many, whole = _gathered(open_sets.where(F.col("held") > o.small).drop("held").join(sets.select("set_id", "n"), "set_id"))
-    # ranges deal a hot entry over tasks, components in order; a chunk is a stretch of an entry in one range
-    ranged = many.repartitionByRange("sig", "component", "set_id").withColumn("range", F.spark_partition_id().cast("long"))
-    ranged = stage(ranged.select("sig", "set_id", "component", "n", "range"), "ranges")
-    order = Window.partitionBy("sig", "range").orderBy("component", "set_id").rowsBetween(Window.unboundedPreceding, -1)
-    chunk = F.shiftleft("range", 32) + F.floor(F.coalesce(F.sum("n").over(order), F.lit(0)) / o.block)
-    chunked = stage(ranged.select("sig", "set_id", "component", chunk.alias("chunk")), "chunks")
+    # an entry of more than `block` tokens is dealt to chunks by hash; each meets every other
+    total = many.groupBy("sig").agg(F.ceil(F.sum("n") / o.block).alias("parts"))
+    chunked = split_join(many, total, "sig").select("sig", "set_id", "component", F.pmod(F.xxhash64("set_id"), "parts").alias("chunk"))
+    chunked = stage(chunked, "chunks")
     chunks = chunked.groupBy("sig", "chunk").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     blocks = chunks.alias("l").join(chunks.alias("r"), F.expr("l.sig = r.sig and l.chunk <= r.chunk and not (l.lo = l.hi and r.lo = r.hi and l.lo = r.lo)"))
     blocks = blocks.select(F.col("l.sig").alias("sig"), F.col("l.chunk").alias("i"), F.col("r.chunk").alias("j"))
@@ -460,7 +458,7 @@ def set_components(rows: DataFrame, o: Options = Options()) -> tuple[DataFrame,
     more = _links(pairs.distinct(), sets, o).unionByName(stage(blocked, "links"))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
-    discard(entries, sets, open_sets, whole, ranged, chunked)
+    discard(entries, sets, open_sets, whole, chunked)
     return members, labels
 
 
