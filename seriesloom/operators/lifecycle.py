@@ -42,7 +42,8 @@ def expired(now_ms: int, seconds: Column | int) -> Column:
 def cleanup(samples: DataFrame, policy: DataFrame, now_ms: int) -> DataFrame:
     """The samples that their metric's policy keeps; nothing is changed in place, so counting it is a dry run."""
     rules = policy_of(samples, policy, "metric")
-    return samples.join(F.broadcast(rules), "metric").where(~expired(now_ms, F.col("seconds"))).drop("namespace", "seconds", "resolution")
+    # a row a metric name: how to join is left to the planner, which knows its size
+    return samples.join(rules, "metric").where(~expired(now_ms, F.col("seconds"))).drop("namespace", "seconds", "resolution")
 
 
 def tiers(samples: DataFrame, now_ms: int, hot_ms: int = 3_600_000, warm_ms: int = 86_400_000, cold: bool = True) -> DataFrame:

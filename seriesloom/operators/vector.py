@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -149,5 +149,6 @@ def nearest_in_time(samples: DataFrame, vectors: DataFrame, within_ms: int) -> D
 
 def peaks(samples: DataFrame, deviations: float) -> DataFrame:
     """Samples so many standard deviations above their series' mean."""
-    w = Window.partitionBy("series_key")
-    return samples.withColumn("limit", F.avg("value").over(w) + deviations * F.stddev_pop("value").over(w)).where("value > limit").drop("limit")
+    # aggregated partially, then joined, so one series with most of the samples is no single task
+    limits = samples.groupBy("series_key").agg((F.avg("value") + deviations * F.stddev_pop("value")).alias("limit"))
+    return samples.join(limits, "series_key").where("value > limit").select(*samples.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.functions.matchers import metric_is, metric_starts, selector
@@ -35,7 +35,9 @@ def read(samples: DataFrame, metric: str, labels: dict[str, str] | None = None,
             if "day" in samples.columns:
                 rows = rows.where(F.expr(f"day {op} date(timestamp_millis({int(bound)}L))"))
     if limit:
-        rows = rows.withColumn("__n", F.dense_rank().over(Window.orderBy("series_key"))).where(F.col("__n") <= limit).drop("__n")
+        # `limit` keys at most, so small enough to send to every task
+        first = rows.select("series_key").distinct().orderBy("series_key").limit(limit)
+        rows = rows.join(F.broadcast(first), "series_key", "left_semi")
     return rows
 
 
