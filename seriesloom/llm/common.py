@@ -53,7 +53,7 @@ def discard(*staged: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Names of the two hashes that tell rows apart.
+#: Names of the two numbers that tell rows apart.
 KEYS = ("__k1", "__k2")
 
 
@@ -63,8 +63,12 @@ def row_key() -> F.Column:
 
 
 def row_keys() -> list[F.Column]:
-    """128 bits of doc_id and text, each hash over them in another order. Equal rows share them: they fare alike."""
-    return [row_key().alias(KEYS[0]), F.xxhash64(F.lit(7), "text", "doc_id").alias(KEYS[1])]
+    """128 bits of doc_id and text. Equal rows share them: they fare alike.
+
+    The first is doc_id itself, which shuffles smaller than a hash; for one that is null or no whole number, a hash.
+    """
+    number = F.col("doc_id").try_cast("long")
+    return [F.coalesce(number, F.xxhash64(F.lit(7), "text", "doc_id")).alias(KEYS[0]), row_key().alias(KEYS[1])]
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:

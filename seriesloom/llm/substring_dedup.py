@@ -80,10 +80,10 @@ def _factors(w: Words, lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def matched_runs(rows: DataFrame, window: int = 35, k: int = 12) -> DataFrame:
-    """(KEYS, runs): for rows (KEYS, text) with any, all runs of windows that occur again somewhere, packed.
+    """(KEYS, runs): for rows (text, KEYS, others) with any, all runs of windows that occur again somewhere, packed.
 
-    Shuffled are one row for each segment (about one in 12 words), the text once by row, and one row for each window of
-    blocks that hold different segments. Counts and sets are partial before each shuffle and hot keys are joined, so one
+    Shuffled are one row for each segment (about one in 12 words), the rows once by their keys, with all columns so that
+    the caller's join by them reuses that shuffle, and one row for each window of blocks that hold different segments. Counts and sets are partial before each shuffle and hot keys are joined, so one
     passage in every document splits well; a row's runs are at most its windows, however often they or it occur.
     """
 
@@ -102,16 +102,16 @@ def matched_runs(rows: DataFrame, window: int = 35, k: int = 12) -> DataFrame:
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            w, lists = words(batch.column(2)), batch.column(3)
+            w, lists = words(batch.column("text")), batch.column("ends")
             n = np.array([len(x) for x in lists], np.int64)
             at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             text, start, count = np.repeat(np.arange(len(n)), n), at >> _SHIFT, at & ((1 << _SHIFT) - 1)
             first = np.repeat(start, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
             text = np.repeat(text, count)
             here, of = first + w.ptr[text], pa.array(text)
-            yield pa.RecordBatch.from_arrays([pa.array(Spans(w.hash).of(here, window).view(np.int64)), pa.array(Spans(w.second, 1).of(here, window).view(np.int64)), batch.column(0).take(of), batch.column(1).take(of), pa.array((first << _SHIFT) | 1)], names=["h1", "h2", *KEYS, "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(Spans(w.hash).of(here, window).view(np.int64)), pa.array(Spans(w.second, 1).of(here, window).view(np.int64)), *[batch.column(k).take(of) for k in KEYS], pa.array((first << _SHIFT) | 1)], names=["h1", "h2", *KEYS, "at"])
 
-    single = split_join(rows.select(*KEYS, "text"), ends, *KEYS).select(*KEYS, "text", "ends").mapInArrow(windows, "h1 long, h2 long, __k1 long, __k2 long, at long")
+    single = split_join(rows, ends, *KEYS).mapInArrow(windows, "h1 long, h2 long, __k1 long, __k2 long, at long")
     again = single.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
     found = split_join(single, again, "h1", "h2").select(*KEYS, "at")
     return whole.unionByName(found).groupBy(*KEYS).agg(F.collect_set("at").alias("runs"))
@@ -126,12 +126,12 @@ def factors(docs: DataFrame, window: int = 35, k: int = 12) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            w = words(batch.column(1))
-            start, count = _factors(w, batch.column(2))
+            w = words(batch.column("text"))
+            start, count = _factors(w, batch.column("runs"))
             text = np.searchsorted(w.ptr, start, "right") - 1
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(start - w.ptr[text]), pa.array(count + window - 1)], names=["doc_id", "start", "length"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(text)), pa.array(start - w.ptr[text]), pa.array(count + window - 1)], names=["doc_id", "start", "length"])
 
-    return split_join(rows, matched_runs(rows, window, k), *KEYS).select("doc_id", "text", "runs").mapInArrow(run, "doc_id long, start long, length long")
+    return split_join(rows, matched_runs(rows, window, k), *KEYS).mapInArrow(run, "doc_id long, start long, length long")
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, k: int = 12) -> DataFrame:
@@ -149,8 +149,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, k: int = 12) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            w = words(batch.column(0))
-            start, count = _factors(w, batch.column(1).fill_null([]))
+            w = words(batch.column("text"))
+            start, count = _factors(w, batch.column("runs").fill_null([]))
             edge = np.zeros(len(w.hash) + 1, np.int64)
             np.add.at(edge, start, 1)
             np.add.at(edge, start + count + window - 1, -1)
@@ -169,9 +169,9 @@ def remove_repeats(docs: DataFrame, window: int = 35, k: int = 12) -> DataFrame:
             offsets = ends - np.concatenate(([0], np.cumsum(n_kept > 0)))
             kept = pa.StringArray.from_buffers(batch.num_rows, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(out[mask].tobytes()))
             n_words = np.diff(w.ptr)
-            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array(n_words), pa.array(n_words - n_kept), kept], names=["__rest", "text", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("__rest"), batch.column("text"), pa.array(n_words), pa.array(n_words - n_kept), kept], names=["__rest", "text", "n_words", "n_removed", "kept"])
 
-    joined = split_join(rows, matched_runs(rows, window, k), *KEYS, how="left").select("text", "runs", "__rest")
+    joined = split_join(rows, matched_runs(rows, window, k), *KEYS, how="left")
     kind = joined.select("__rest").schema.simpleString()[7:-1]
     done = joined.mapInArrow(cut, f"{kind},text:string,n_words:bigint,n_removed:bigint,kept:string")
     columns = {c: F.col(f"__rest.c{i}").alias(c) for i, c in enumerate(rest)}
