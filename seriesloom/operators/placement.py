@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,22 +51,44 @@ def ring(nodes: list[str], points: int = 150) -> list[tuple[int, str]]:
     return sorted((int(hashlib.md5(f"{n}:{i}".encode()).hexdigest()[:8], 16), n) for n in nodes for i in range(points))
 
 
-def _literal(places: list[tuple[int, str]]) -> Column:
-    return F.from_json(F.lit("[" + ",".join(f'{{"h":{h},"node":"{n}"}}' for h, n in places) + "]"), "array<struct<h:bigint,node:string>>")
+def _constant(values: list, kind: str) -> Column:
+    """An array as a constant: one expression, however many values."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+def _search(h: Column, places: list[tuple[int, str]], then: Callable[[Column], Column], inclusive: bool = False) -> Column:
+    """then(i) for i, the first place after h (at it too, if inclusive) around the end, place 0 for a null h.
+
+    A binary search, so a key takes as many steps as the number of places has bits; h is worked out once, not at each step.
+    """
+    at, steps = _constant([p for p, _ in places], "bigint"), [1 << i for i in reversed(range(len(places).bit_length()))]
+
+    def passed(x: Column) -> Column:
+        # beyond the end is null, and the step is not taken
+        over = lambda p: p < x if inclusive else p <= x
+        return F.aggregate(_constant(steps, "int"), F.lit(0), lambda low, s: F.when(over(F.get(at, low + s - F.lit(1))), low + s).otherwise(low))
+
+    return F.get(F.transform(F.array(h), lambda x: then(passed(x) % len(places))), F.lit(0))
 
 
 def owner(h: Column, places: list[tuple[int, str]], inclusive: bool = False) -> Column:
-    """The node at the first place after h (at it too, if inclusive), around the end."""
-    later = F.filter(_literal(places), lambda p: p["h"] >= h if inclusive else p["h"] > h)
-    return F.when(F.size(later) > 0, F.element_at(later, 1)["node"]).otherwise(F.lit(places[0][1]))
+    """The node at the first place after h (at it too, if inclusive), around the end; of a null h, at the first place."""
+    return _search(h, places, lambda i: F.get(_constant([x for _, x in places], "string"), i), inclusive)
+
+
+def successors(places: list[tuple[int, str]], n: int) -> list[list[str]]:
+    """Of each place, the first n distinct nodes from it on, around the end."""
+    lists: list[list[str]] = [[]] * len(places)
+    after: list[str] = []
+    for i in [*reversed(range(len(places)))] * 2:  # the first time round knows nothing of the start
+        node = places[i][1]
+        after = lists[i] = [node, *(x for x in after if x != node)][:n]
+    return lists
 
 
 def owners(h: Column, places: list[tuple[int, str]], n: int) -> Column:
-    """The first n distinct nodes from h on."""
-    ring_, nodes = _literal(places), len({x for _, x in places})
-    after = F.transform(F.filter(ring_, lambda p: p["h"] > h), lambda p: p["node"])
-    rest = F.transform(F.filter(ring_, lambda p: p["h"] <= h), lambda p: p["node"])
-    return F.slice(F.array_distinct(F.concat(after, rest)), 1, min(n, nodes))
+    """The first n distinct nodes from h on; of a null h, from the first place on."""
+    return _search(h, places, lambda i: F.get(_constant(successors(places, n), "array<string>"), i))
 
 
 def replica_positions(df: DataFrame, h: Column, places: list[tuple[int, str]], n: int, spacing: int = 1000) -> DataFrame:

@@ -554,6 +554,11 @@ def _hashed(spark: SparkSession, d: str) -> DataFrame:
     return model.table(spark, d, "customer").select("c_name", placement.key_hash(F.col("c_name")).alias("h"))
 
 
+def _keys(spark: SparkSession, d: str) -> DataFrame:
+    """Each name once, as the rings' SQL groups by it; the shuffle also deals a table of few row groups to all tasks."""
+    return model.table(spark, d, "customer").select("c_name").distinct().select("c_name", placement.key_hash(F.col("c_name")).alias("h"))
+
+
 @query("shard_mod", f"SELECT c_name, 'shard_' || lpad(CAST({_HASH} % 256 AS VARCHAR), 4, '0') AS shard FROM customer")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return _hashed(spark, d).select("c_name", placement.shard_by_hash(F.col("h")).alias("shard"))
@@ -576,22 +581,22 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ring_owner", _RING + " SELECT c_name, coalesce(arg_min(node, (h, node)) FILTER (h > kh), arg_min(node, (h, node))) AS node FROM k, ring GROUP BY c_name")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _hashed(spark, d).select("c_name", placement.owner(F.col("h"), placement.ring(_NODES)).alias("node"))
+    return _keys(spark, d).select("c_name", placement.owner(F.col("h"), placement.ring(_NODES)).alias("node"))
 
 
 @query("ring_replicas", _RING + ", o AS (SELECT c_name, node, min(CASE WHEN h > kh THEN h ELSE h + 4294967296 END) AS p FROM k, ring GROUP BY ALL) SELECT c_name, string_agg(node, ',' ORDER BY p) AS nodes FROM (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY c_name ORDER BY p) <= 3) GROUP BY c_name")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _hashed(spark, d).select("c_name", F.array_join(placement.owners(F.col("h"), placement.ring(_NODES), 3), ",").alias("nodes"))
+    return _keys(spark, d).select("c_name", F.array_join(placement.owners(F.col("h"), placement.ring(_NODES), 3), ",").alias("nodes"))
 
 
 @query("ring_positions", _RING + ", p AS (SELECT c_name, i AS replica, (kh + i * 1000) % 4294967296 AS kh FROM k, (SELECT CAST(unnest(range(3)) AS INT) AS i)) SELECT c_name, replica, coalesce(arg_min(node, (h, node)) FILTER (h > kh), arg_min(node, (h, node))) AS node FROM p, ring GROUP BY ALL")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return placement.replica_positions(_hashed(spark, d), F.col("h"), placement.ring(_NODES), 3).select("c_name", "replica", "node")
+    return placement.replica_positions(_keys(spark, d), F.col("h"), placement.ring(_NODES), 3).select("c_name", "replica", "node")
 
 
 @query("ring_balance", _RING + ", o AS (SELECT c_name, coalesce(arg_min(node, (h, node)) FILTER (h >= kh), arg_min(node, (h, node))) AS node FROM k, ring GROUP BY c_name) SELECT node, count(*) AS n FROM o GROUP BY ALL")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return placement.balance(_hashed(spark, d).withColumn("node", placement.owner(F.col("h"), placement.ring(_NODES), inclusive=True)))
+    return placement.balance(_keys(spark, d).withColumn("node", placement.owner(F.col("h"), placement.ring(_NODES), inclusive=True)))
 
 
 # Streams, over the events written as files of samples

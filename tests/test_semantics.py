@@ -112,6 +112,41 @@ def test_placement(spark):
     assert placement.shards_in(0, 2**32 // 4, 4) == [0, 1]
 
 
+def test_ring_lookup_is_a_search(spark):
+    """Every place and both sides of it, nulls, nodes with quotes; the plan holds no filter over all places."""
+    places = placement.ring(["a", 'b"c', "d"], 20)
+    keys = sorted({k for p, _ in places for k in (p - 1, p, p + 1)} | {0, 2**32 - 1}) + [None]
+    df = spark.createDataFrame([(k,) for k in keys], "h long")
+    columns = [placement.owner(F.col("h"), places), placement.owner(F.col("h"), places, inclusive=True), placement.owners(F.col("h"), places, 2), placement.owners(F.col("h"), places, 9)]
+    out = df.select("h", *[c.alias(f"c{i}") for i, c in enumerate(columns)])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(" not in plan and "from_json" not in plan
+
+    def by_hand(k, n, inclusive=False):
+        later = [x for p, x in places if p > k or (inclusive and p == k)] if k is not None else []
+        return list(dict.fromkeys(later + [x for _, x in places]))[:n]
+
+    for k, after, at, two, all_ in out.collect():
+        assert (after, at, two, all_) == (by_hand(k, 1)[0], by_hand(k, 1, True)[0], by_hand(k, 2), by_hand(k, 9))
+
+
+@pytest.mark.parametrize("name", ["ring_owner", "ring_replicas", "ring_positions", "ring_balance"])
+def test_rings_group_names(spark, tmp_path, name):
+    """Names that repeat, as in the SQL."""
+    import duckdb
+
+    from seriesloom.plans import queries
+    from tests.duck import rows, spark_rows
+
+    path = str(tmp_path / "customer.parquet")
+    spark.createDataFrame([("a",), ("b",), ("a",), ("",)], "c_name string").coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW customer AS SELECT * FROM '{path}/*.parquet'")
+    sql = queries.oracle_sql()[name].removeprefix(queries.COMMON + ",")  # which reads other tables
+    found = con.sql(f"WITH {sql}")
+    assert spark_rows(queries.queries()[name](spark, str(tmp_path))) == (sorted(found.columns), rows(found.columns, found.fetchall()))
+
+
 def test_policies(spark):
     rules = lifecycle.policies(spark, [("http", 10, "raw"), ("http_req", 20, "raw"), ("exact", 30, "1h")])
     names = spark.createDataFrame([("http_requests",), ("http_req",), ("other",)], "name string")
