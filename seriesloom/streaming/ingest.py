@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from seriesloom.sources.storage import write
 
+SAMPLES = pa.schema([("series_key", pa.string()), ("ts_ms", pa.int64()), ("value", pa.float64())])
+
 
 def source(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataFrame:
     """Parquet files as they arrive."""
@@ -47,25 +51,48 @@ def downsample_all(stream: DataFrame, path: str, interval: str = "1 hour") -> Da
     return last.select("series_key", "ts_ms", "x.*")
 
 
-def rate(stream: DataFrame) -> DataFrame:
+def _pack(samples: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(samples, SAMPLES, preserve_index=False)
+    with (sink := pa.BufferOutputStream()), pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _next_rates(known: pd.DataFrame, rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Rates of rows of many series, given the last sample known of each, and the samples known after them."""
+    samples = pd.concat([known, rows], ignore_index=True) if len(known) else rows.reset_index(drop=True)
+    code = pd.factorize(samples["series_key"], use_na_sentinel=False)[0]
+    ts, value, new = samples["ts_ms"].to_numpy(), samples["value"].to_numpy(), np.arange(len(samples)) >= len(known)
+    since = np.full(int(code.max()) + 1, np.iinfo(np.int64).min)
+    since[code[~new]] = ts[~new]
+    keep = np.flatnonzero(ts >= since[code])
+    order = keep[np.lexsort((value[keep], new[keep], ts[keep], code[keep]))]
+    same, dt = code[order[1:]] == code[order[:-1]], np.diff(ts[order])
+    at = np.flatnonzero(same & (dt > 0))
+    with np.errstate(invalid="ignore", over="ignore"):
+        change = np.diff(value[order])[at] / (dt[at] / 1000.0)
+    out = samples.iloc[order[at + 1]].assign(value=np.where(change > 0, change, 0.0))
+    return out, samples.iloc[order[np.append(~same, True)]]
+
+
+def rate(stream: DataFrame, buckets: int = 1024) -> DataFrame:
     """Change a second from each sample to the next of its series, across micro-batches; falls count as 0.
 
-    State is the last sample of a series. A sample not later than it gives no row.
+    State is the last sample of each series, and never expires. A sample not later than it gives no row; one without a
+    time counts for nothing. Series are dealt to `buckets` by hash, and a call works on all of a bucket's series at once,
+    since a call for each series costs far more than its samples. A task holds one bucket's samples of a micro-batch at a
+    time; a checkpoint keeps to the number of buckets it began with.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last_ms, last = state.get if state.exists else (None, None)
-        rows = pd.concat([b for b in batches if len(b)]).sort_values(["ts_ms", "value"])
-        out = []
-        for ts, value in zip(rows["ts_ms"].tolist(), rows["value"].tolist(), strict=True):
-            if last_ms is not None and ts > last_ms:
-                out.append((key[0], ts, max(0.0, (value - last) / ((ts - last_ms) / 1000.0))))
-            if last_ms is None or ts >= last_ms:
-                last_ms, last = ts, value
-        state.update((last_ms, last))
-        yield pd.DataFrame(out, columns=["series_key", "ts_ms", "value"]).astype({"ts_ms": "int64", "value": "float64"})
-
-    return stream.select("series_key", "ts_ms", "value").groupBy("series_key").applyInPandasWithState(step, "series_key string, ts_ms long, value double", "ts_ms long, value double", "append", GroupStateTimeout.NoTimeout)
+        rows = pd.concat([b[SAMPLES.names] for b in batches if len(b)])
+        known = pa.ipc.open_stream(state.get[0]).read_pandas() if state.exists else rows[:0]
+        out, known = _next_rates(known, rows)
+        state.update((_pack(known),))
+        yield out
+
+    dealt = stream.where("ts_ms is not null").select(F.pmod(F.xxhash64("series_key"), F.lit(buckets)).alias("bucket"), *SAMPLES.names)
+    return dealt.groupBy("bucket").applyInPandasWithState(step, "series_key string, ts_ms long, value double", "samples binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:

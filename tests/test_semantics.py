@@ -196,6 +196,29 @@ def test_streaming_watermark(spark, tmp_path):
     assert rates.where("value < 0").count() == 0 and rates.count() >= 2
 
 
+def test_streaming_rate_in_buckets(spark, tmp_path):
+    """Three micro-batches of 300 series against the rule by hand: late, repeated and falling samples; NaN counts as no change."""
+    import random
+
+    from seriesloom.streaming import ingest
+
+    draw, last, expected = random.Random(5), {}, []
+    for _ in range(3):
+        rows = [(f"s{draw.randrange(300)}", draw.randrange(40) * 500, draw.choice([1.0, 2.5, 9.0, float("nan")])) for _ in range(700)]
+        for key, ts, value in sorted(rows, key=lambda r: (r[1], math.isnan(r[2]), r[2])):
+            before = last.get(key)
+            if before and ts > before[0]:
+                expected.append((key, ts, max(0.0, (value - before[1]) / ((ts - before[0]) / 1000.0))))
+            if not before or ts >= before[0]:
+                last[key] = ts, value
+        spark.createDataFrame([("m", {}, *r) for r in rows], storage.SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = ingest.source(spark, str(tmp_path / "in"), storage.SCHEMA)
+    run = ingest.rate(stream, 16).writeStream.option("checkpointLocation", str(tmp_path / "log")).format("parquet").trigger(availableNow=True).start(str(tmp_path / "out"))
+    run.awaitTermination()
+    assert got(spark.read.parquet(str(tmp_path / "out")), "series_key", "ts_ms", "value") == sorted(expected)
+    assert run.lastProgress["stateOperators"][0]["numRowsTotal"] <= 16 and len(run.recentProgress) >= 3
+
+
 def test_gap_scores(spark):
     out = got(series.gap_scores(frame(spark, [(0, 1.0), (10, 1.0), (20, 1.0), (50, 1.0)])))
     assert out == [(20, 0.0), (50, 20.0)]
