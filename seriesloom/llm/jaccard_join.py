@@ -223,12 +223,6 @@ def _sketch(token: np.ndarray) -> bytes:
     return np.minimum(np.bincount((mix(token ^ np.uint64(0x165667B19E3779F9)) & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
 
 
-def _coarse(sketch: bytes) -> bytes:
-    """Folded to a quarter of its cells, but to no less than 64: a byte for two to four tokens."""
-    cells = max(min(len(sketch), 64), len(sketch) // 4)
-    return _fold(np.frombuffer(sketch, np.uint8), cells).astype(np.uint8).tobytes()
-
-
 def _fold(sketch: np.ndarray, cells: int) -> np.ndarray:
     return np.minimum(sketch.reshape(-1, cells).sum(axis=0), 255)
 
@@ -325,23 +319,28 @@ def _block_links(pdf: pd.DataFrame, o: Options) -> pd.DataFrame:
 
 
 def _hopeful(pdf: pd.DataFrame, o: Options) -> pd.DataFrame:
-    """The rows of one block whose set may link to one of another component, by coarse sketches: others need no text."""
+    """The rows of one block whose set may link to one of another component, by sketches: others need no text.
+
+    A quarter of the cells (64 at least) rules most pairs out, and all cells those that are left: sets that share much of
+    their text, but too little, differ in several tokens of a coarse cell, which cancel out there.
+    """
     pdf = pdf.drop_duplicates("set_id")
-    sketch, n = [np.frombuffer(x, np.uint8) for x in pdf["coarse"]], pdf["n"].to_numpy()
+    sketch, n = [np.frombuffer(x, np.uint8) for x in pdf["sketch"]], pdf["n"].to_numpy()
     label, cells = np.unique(pdf["component"].to_numpy(), return_inverse=True)[1].reshape(-1), np.array([len(x) for x in sketch])
     hope = np.zeros(len(pdf), bool)
     for c in np.unique(cells).tolist():
         # a larger set of a link has no more cells than this
         among = np.flatnonzero((cells >= c) & (cells * o.at <= 2 * c * o.of))
-        table = np.stack([_fold(sketch[i], c) for i in among]).astype(np.int16)
+        fine = np.stack([_fold(sketch[i], c) for i in among]).astype(np.int16)
+        table = np.stack([_fold(x, max(min(c, 64), c // 4)) for x in fine]).astype(np.int16)
         for k in np.flatnonzero(cells[among] == c).tolist():
             i = among[k]
             near = np.flatnonzero((label[among] != label[i]) & (n[among] * o.of >= n[i] * o.at) & (n[i] * o.of >= n[among] * o.at))
             near = near[((cells[among[near]] > c) | (near > k)) & ~(hope[i] & hope[among[near]])]
-            apart = np.abs(table[near] - table[k]).sum(axis=1)
-            found = among[near[apart <= _most_apart(n[among[near]], int(n[i]), o)]]
-            if len(found):
-                hope[i] = hope[found] = True
+            for level in (table, fine):
+                near = near[np.abs(level[near] - level[k]).sum(axis=1) <= _most_apart(n[among[near]], int(n[i]), o)]
+            if len(near):
+                hope[i] = hope[among[near]] = True
     return pdf.loc[hope, ["sig", "i", "j", "set_id", "component"]]
 
 
@@ -370,7 +369,7 @@ def set_components(rows: DataFrame, o: Options = Options()) -> tuple[DataFrame,
     Equal sets are one, told apart by two hashes. First each set is compared with the smallest of all its index entries,
     in `rounds` more with one of another component that leads one of its entries. Entries that still hold
     several components are then compared in full, across components only: as pairs if they hold `small` sets at most,
-    else, gathered where they overlap, in blocks inside a task: of sets by coarse sketches first, then of those that may
+    else, gathered where they overlap, in blocks inside a task: of sets by sketches first, then of those that may
     link there by their texts. So groups of copies cost little more than their number,
     and no link between components is missed. Links are verified on the words of both texts.
     """
@@ -441,9 +440,9 @@ def set_components(rows: DataFrame, o: Options = Options()) -> tuple[DataFrame,
         for batch in text_slices(batches):
             token, ptr, _ = shingle_sets(batch.column(0), o.n)
             sketches = [_sketch(token[a:b]) for a, b in zip(ptr[:-1].tolist(), ptr[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.diff(ptr)), batch.column(0), pa.array(sketches, pa.binary()), pa.array([_coarse(x) for x in sketches], pa.binary())], names=["set_id", "n", "text", "sketch", "coarse"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.diff(ptr)), batch.column(0), pa.array(sketches, pa.binary())], names=["set_id", "n", "text", "sketch"])
 
-    sets = split_join(keyed, wanted, *KEYS).select("text", "set_id").mapInArrow(describe_sets, "set_id long, n long, text string, sketch binary, coarse binary")
+    sets = split_join(keyed, wanted, *KEYS).select("text", "set_id").mapInArrow(describe_sets, "set_id long, n long, text string, sketch binary")
     # rows that repeat have the same keys
     sets = stage(sets.dropDuplicates(["set_id"]), "sets")
 
@@ -481,7 +480,7 @@ def set_components(rows: DataFrame, o: Options = Options()) -> tuple[DataFrame,
     blocks = chunks.alias("l").join(chunks.alias("r"), F.expr("l.sig = r.sig and l.chunk <= r.chunk and not (l.lo = l.hi and r.lo = r.hi and l.lo = r.lo)"))
     blocks = blocks.select(F.col("l.sig").alias("sig"), F.col("l.chunk").alias("i"), F.col("r.chunk").alias("j"))
     blocks = blocks.select("sig", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("chunk"))
-    drawn = blocks.join(chunked, ["sig", "chunk"]).join(sets.select("set_id", "n", "coarse"), "set_id").select("sig", "i", "j", "set_id", "component", "n", "coarse")
+    drawn = blocks.join(chunked, ["sig", "chunk"]).join(sets.select("set_id", "n", "sketch"), "set_id").select("sig", "i", "j", "set_id", "component", "n", "sketch")
     hopeful = drawn.groupBy("sig", "i", "j").applyInPandas(lambda pdf: _hopeful(pdf, o), "sig long, i long, j long, set_id long, component long")
     hopeful = stage(hopeful, "hopeful")
     shipped = hopeful.join(sets.select("set_id", "text"), "set_id").select("sig", "i", "j", "set_id", "component", "text")

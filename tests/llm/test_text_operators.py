@@ -453,3 +453,22 @@ def test_license_hot_directory(spark):
     rows = [(i, "hot/dir", f"{i}.txt", "words only") for i in range(500)] + [(500, "hot", "LICENSE", "Released under the MIT License.")]
     got = licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, name string, text string")).groupBy("license", "basis").count().collect()
     assert sorted(map(tuple, got)) == [("MIT", "inherited", 500), ("MIT", "own", 1)]
+
+
+def test_blocks_hold_back_texts_of_sets_too_far_apart():
+    """Sets of 512 tokens that share 430 (0.72) need no text at 0.8; sets that share 456 (0.803) do. Fifty of each."""
+    import pandas as pd
+
+    from seriesloom.llm.jaccard_join import Options, _hopeful, _sketch
+
+    draw, o = np.random.default_rng(3), Options(n=5, at=80)
+    for common, hopeful in ((430, 0), (456, 100)):
+        sets = []
+        for _ in range(50):
+            both = draw.integers(0, 2**64, common, np.uint64)
+            sets += [np.concatenate((both, draw.integers(0, 2**64, 512 - common, np.uint64))) for _ in range(2)]
+        rows = [(1, 0, 0, i, i, len(x), _sketch(x)) for i, x in enumerate(sets)]
+        pdf = pd.DataFrame(rows, columns=["sig", "i", "j", "set_id", "component", "n", "sketch"])
+        assert len(_hopeful(pdf, o)) == hopeful
+        pdf["component"] //= 2  # nothing is left to join
+        assert not len(_hopeful(pdf, o))
